@@ -79,6 +79,19 @@ def measures(docs: DataFrame) -> DataFrame:
     ).select("doc_id", "source", "w.n_words", "w.word_chars", "n_symbols", "l.n_lines", "l.n_dup_lines", "w.n_repeat_words")
 
 
+def beta_prior(m: float | None, mean: float | None, var: float | None) -> tuple[float, float]:
+    """Mean and strength of the beta prior whose hosts of m documents would have this mean and variance of rates.
+
+    Var(rate) = mean (1 - mean) (1 + (m - 1) / (strength + 1)) / m; where rates vary no more than by chance, or cannot be
+    compared, the strength is so great that all hosts get the mean.
+    """
+    mean, m, var = mean or 0.0, m or 1.0, var or 0.0
+    most, noise = mean * (1 - mean), mean * (1 - mean) / m
+    if var <= noise or m <= 1:
+        return mean, 1e6
+    return mean, max(2.0, (most - noise) / (var - noise) - 1)
+
+
 def judged(docs: DataFrame, min_words: int = 50, rate: float = 0.6, floor: int = 20) -> DataFrame:
     """Measures, base_failed, each soft failure, the host's shrunk rates and kept, a row per document.
 
@@ -93,20 +106,17 @@ def judged(docs: DataFrame, min_words: int = 50, rate: float = 0.6, floor: int =
     measured = staged(measured.select("*", failed.alias("base_failed"), *soft), "measures")
     names = list(SOFT)
     hosts = measured.groupBy("host").agg(F.count("*").alias("n"), *[F.sum(f"soft_{x}").alias(f"k_{x}") for x in names])
-    # Moments of the hosts' rates: the prior's mean and strength for each rule, one row whatever the number of hosts.
+    # Moments of the hosts' rates, one row whatever the number of hosts: each rule's prior mean and strength.
     moments = hosts.agg(
         F.avg("n").alias("m"),
-        *[F.expr(f"sum(k_{x}) / sum(n)").alias(f"mean_{x}") for x in names],
-        *[F.expr(f"coalesce(var_samp(k_{x} / n), 0D)").alias(f"var_{x}") for x in names],
-    )
+        *[F.expr(f"sum(k_{x}) / nullif(sum(n), 0)").alias(f"mean_{x}") for x in names],
+        *[F.expr(f"var_samp(k_{x} / n)").alias(f"var_{x}") for x in names],
+    ).collect()[0]
     shrunk = []
     for x in names:
-        # Var(rate) = mean (1 - mean) (1 + (m - 1) / (strength + 1)) / m for hosts of m documents, solved for the strength.
-        noise = F.expr(f"mean_{x} * (1 - mean_{x}) / m")
-        excess = F.col(f"var_{x}") - noise
-        strength = F.when(excess <= 0, F.lit(1e6)).otherwise(F.greatest(F.lit(2.0), F.expr(f"mean_{x} * (1 - mean_{x})") / F.nullif(excess, F.lit(0.0)) - 1))
-        shrunk.append(((F.col(f"k_{x}") + F.col(f"mean_{x}") * strength) / (F.col("n") + strength)).alias(f"rate_{x}"))
-    verdicts = staged(hosts.join(F.broadcast(moments)).select("host", F.col("n").alias("host_docs"), *shrunk), "hosts")
+        mean, strength = beta_prior(moments["m"], moments[f"mean_{x}"], moments[f"var_{x}"])
+        shrunk.append(((F.col(f"k_{x}") + mean * strength) / (F.col("n") + strength)).alias(f"rate_{x}"))
+    verdicts = staged(hosts.select("host", F.col("n").alias("host_docs"), *shrunk), "hosts")
     bad = F.lit(False)
     for x in names:
         bad = bad | ((F.col(f"soft_{x}") == 1) & (F.col(f"rate_{x}") > rate) & (F.col("host_docs") >= floor))
