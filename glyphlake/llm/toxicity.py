@@ -1,6 +1,6 @@
 """Operator 3: toxicity by gradient-boosted trees over a few dense features, with isotonic calibration.
 
-The lexicon is learned: words whose document frequency is much higher in toxic training texts. The features of a text are
+The lexicon is learned: words and word stems whose document frequency is much higher in toxic training texts. The features of a text are
 densities of lexicon words by strength, how near they stand to second-person words, capitals, punctuation and obfuscated
 spellings. The trees split on quantile bins and are grown in numpy on a bounded sample; the calibration is fitted on a
 part of the sample that the trees have not seen.
@@ -23,6 +23,9 @@ from glyphlake.llm.common import labelled_sample, staged
 PER_CLASS = 4000
 LEXICON = 160
 STRONG = 24
+#: Lengths of stems, and words and stems that a task counts before it passes them on.
+STEMS = range(3, 9)
+HELD = 200_000
 TREES, DEPTH, BINS, SHRINK = 60, 3, 32, 0.15
 
 #: Second-person words of English, German, French and Spanish.
@@ -37,18 +40,24 @@ NAMES = ("strong", "strong_distinct", "medium", "weak", "near_second", "second",
 
 
 class Model(NamedTuple):
-    lexicon: dict[str, tuple[int, float]]
+    lexicon: dict
     edges: np.ndarray
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
     base: float
     knots: tuple[np.ndarray, np.ndarray]
 
 
-def text_features(text: str, lexicon: dict[str, tuple[int, float]]) -> list[float]:
-    """The features of NAMES for one text; all zero for an empty one. lexicon: word to (tier 0 to 2, weight)."""
+def text_features(text: str, lexicon: dict) -> list[float]:
+    """The features of NAMES for one text; all zero for an empty one. lexicon: word or stem* to (tier 0 to 2, weight); "" to the stems' first letters."""
     found = WORD.findall(text.lower())
     n = len(found)
-    hits = [(i, w, *lexicon[w]) for i, w in enumerate(found) if w in lexicon]
+    gate = lexicon.get("", ())
+    hits = []
+    for i, w in enumerate(found):
+        if w in lexicon:
+            hits.append((i, w, *lexicon[w]))
+        elif w[:3] in gate:
+            hits += [(i, w, *lexicon[f"{w[:k]}*"]) for k in STEMS if f"{w[:k]}*" in lexicon and len(w) > k]
     tiers = [0, 0, 0]
     for _, _, tier, _ in hits:
         tiers[tier] += 1
@@ -64,10 +73,10 @@ def text_features(text: str, lexicon: dict[str, tuple[int, float]]) -> list[floa
     for token in _MIXED.findall(text):
         plain = token.lower().translate(LEET)
         odd += 1
-        hidden += plain in lexicon and lexicon[plain][0] == 0
+        hidden += bool(plain) and plain in lexicon and lexicon[plain][0] == 0
     for token in _SPACED.findall(text):
         plain = re.sub(r"[\W_]", "", token.lower()).translate(LEET)
-        hit = plain in lexicon and lexicon[plain][0] == 0
+        hit = bool(plain) and plain in lexicon and lexicon[plain][0] == 0
         hidden += hit
         odd += hit
     size = max(1, len(text))
@@ -91,10 +100,11 @@ def text_features(text: str, lexicon: dict[str, tuple[int, float]]) -> list[floa
     ]
 
 
-def learn_lexicon(sample: DataFrame, size: int = LEXICON) -> dict[str, tuple[int, float]]:
-    """Words most typical of class 1 among distinct texts: by the difference of document shares, with their log odds.
+def learn_lexicon(sample: DataFrame, size: int = LEXICON) -> dict:
+    """Words and stems most typical of class 1 among distinct texts: by the difference of document shares, with their log odds.
 
-    ``sample`` has (text, y) and is bounded; each distinct text counts once, so copies don't make words look typical.
+    ``sample`` has (text, y) and is bounded; each distinct text counts once, so copies don't make words look typical. Of
+    entries that say the same (a stem and its longer forms), the one with most evidence stays.
     """
     distinct = sample.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("y").alias("y"))
     n = {r["y"]: r["n"] for r in distinct.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -103,12 +113,21 @@ def learn_lexicon(sample: DataFrame, size: int = LEXICON) -> dict[str, tuple[int
         return {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, list[int]] = {}
+
+        def passed_on() -> pa.RecordBatch:
+            out = pa.record_batch([pa.array(list(total), pa.string()), pa.array([x[0] for x in total.values()], pa.int64()), pa.array([x[1] for x in total.values()], pa.int64())], ["w", "a", "b"])
+            total.clear()
+            return out
+
         for batch in batches:
-            total: dict[str, list[int]] = {}
             for text, y in zip(batch.column("text"), batch.column("y").to_pylist(), strict=True):
-                for w in set(WORD.findall(text.as_py().lower())):
+                own = set(WORD.findall(text.as_py().lower()))
+                for w in own | {f"{w[:k]}*" for w in own for k in STEMS if len(w) > k}:
                     total.setdefault(w, [0, 0])[y] += 1
-            yield pa.record_batch([pa.array(list(total), pa.string()), pa.array([x[0] for x in total.values()], pa.int64()), pa.array([x[1] for x in total.values()], pa.int64())], ["w", "a", "b"])
+                if len(total) > HELD:
+                    yield passed_on()
+        yield passed_on()
 
     counts = distinct.select("text", "y").mapInArrow(run, "w string, a long, b long").groupBy("w").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     odds = F.log(((F.col("b") + 0.5) / (toxic + 1)) / ((F.col("a") + 0.5) / (clean + 1)))
@@ -116,12 +135,18 @@ def learn_lexicon(sample: DataFrame, size: int = LEXICON) -> dict[str, tuple[int
     gap = F.col("b") / toxic - F.col("a") / clean
     pooled = (F.col("a") + F.col("b")) / float(toxic + clean)
     z = gap / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * (1.0 / toxic + 1.0 / clean))
-    best = counts.where((F.col("b") >= 3) & (gap > 0)).select("w", odds.alias("odds"), z.alias("z")).orderBy(F.desc("z"), "w").limit(size).collect()
-    strong = [r for r in best if r["odds"] > 2.0][:STRONG]
+    found = counts.where((F.col("b") >= 3) & (gap > 0)).select("w", odds.alias("odds"), z.alias("z")).orderBy(F.desc("z"), F.desc(F.length("w")), "w").limit(20 * size).collect()
+    best: list = []
+    for r in found:
+        plain = r["w"].rstrip("*")
+        if len(best) < size and not any(x["w"].startswith(plain) and r["w"].endswith("*") or x["w"].endswith("*") and plain.startswith(x["w"][:-1]) for x in best):
+            best.append(r)
+    strong = [r for r in best if r["odds"] > 1.5][:STRONG]
     # Of the strongest, only those within reach of the best one: the rest are chance finds of small samples.
-    cut = 0.25 * strong[0]["z"] if strong else 0.0
+    cut = 0.2 * strong[0]["z"] if strong else 0.0
     top = {r["w"] for r in strong if r["z"] >= cut}
-    return {r["w"]: (0 if r["w"] in top else 1 if r["odds"] > 1.0 else 2, float(r["odds"])) for r in best}
+    out: dict = {r["w"]: (0 if r["w"] in top else 1 if r["odds"] > 1.0 else 2, float(r["odds"])) for r in best}
+    return out | {"": frozenset(w[:3] for w in out if w.endswith("*"))} if out else {}
 
 
 def _bin(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
