@@ -1,10 +1,11 @@
-"""Registered queries of the search engine, each with its DuckDB twin where SQL can express it."""
+"""All registered queries of the search engine, each with its DuckDB twin where SQL can express it."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from glyphlake.plans import retrieval, service, vocabulary
+from glyphlake.plans.retrieval import flagship
 
-from pyspark.sql import DataFrame, SparkSession
+QUERIES = vocabulary.QUERIES | retrieval.QUERIES | service.QUERIES
+ORACLES = vocabulary.ORACLES | retrieval.ORACLES | service.ORACLES
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "flagship"]
