@@ -5,9 +5,12 @@ draws a random permutation of the slots and leaves, at the slot of its j-th draw
 slot keeps the least. As ranks of one shingle differ between slots, estimates vary less than with independent hashes, and
 a document stops drawing once no higher rank can enter. Bands of the signature bring candidates together.
 
-Within a bucket not all pairs are formed. First each member meets the bucket's leader, then members of groups that are
-still apart meet other leaders; once few pairs of different groups remain, all of those are tested. Every pair of one bucket
-thus ends either tested or inside one group, so no link between groups is lost, and a bucket of n copies costs about n.
+Within a bucket not all pairs are formed. First each member meets the bucket's leader, then, as long as that joins many,
+members of groups that are still apart meet other leaders; in the end all pairs of different groups that are left are
+compared. Every pair of one bucket is thus either compared or inside one group, so no link between groups is lost, and a
+bucket of n copies costs about n. Comparing means at first a bound that never errs: each set has a bitmap with the parity of
+its shingles by hash, and two bitmaps differ in no more bits than the sets in elements. Only pairs that the bound leaves open
+leave the join, and their full sets decide.
 """
 
 from __future__ import annotations
@@ -24,9 +27,14 @@ from glyphlake.llm.common import mix64, span_hashes, staged, text_blocks, utf8,
 
 #: Signature slots; bands of ROWS slots each: a pair at similarity 0.85 shares no band with probability 7e-9.
 SLOTS, ROWS = 160, 5
-#: Rounds with leaders before all remaining pairs are tested, and how many pairs per bucket row count as few.
-LEADER_ROUNDS, FEW = 12, 3
-
+#: Bits of the bitmap, in words of 64.
+MARKS = 16
+#: Most rounds with leaders; share of bucket rows that a round must settle for another one; pairs per row that are always too many.
+LEADER_ROUNDS, SETTLED, MANY = 10, 0.1, 500
+#: Most classes whose ids are copied to all tasks to pick out their texts; beyond, texts are joined by id.
+COPIED = 500_000
+
+_MARK_NAMES = [f"s{k}" for k in range(MARKS)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _RANK = np.uint64(40)
@@ -101,12 +109,11 @@ def band_hashes(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return h.view(np.int64)
 
 
-def sketch(signature: np.ndarray) -> np.ndarray:
-    """(docs, 3) of int64: one bit of each slot, 64 to a word."""
-    bits = (mix64(signature) & np.uint64(1)).astype(np.uint8)
-    padded = np.zeros((len(bits), 192), np.uint8)
-    padded[:, : bits.shape[1]] = bits[:, :192]
-    return np.packbits(padded, axis=1).view(">i8").astype(np.int64)
+def bitmaps(elements: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+    """(docs, MARKS) of int64: for each of 64 * MARKS hash values, whether an odd number of elements has it."""
+    width = 64 * MARKS
+    odd = np.bincount(doc * width + (mix64(elements ^ _STEP) % np.uint64(width)).astype(np.int64), minlength=docs * width) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(docs, width), axis=1).view(">i8").astype(np.int64)
 
 
 def _key(unique: np.ndarray) -> bytes:
@@ -114,7 +121,7 @@ def _key(unique: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, c, bands, s0, s1, s2): set size, 128-bit key of the set, band hashes and sketch of every document."""
+    """(doc_id, n, c, bands, s0..): set size, 128-bit key of the set, band hashes and bitmap of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,25 +129,23 @@ def signatures(docs: DataFrame) -> DataFrame:
             for i, j, data, offsets in text_blocks(batch, most=1 << 19):
                 sets = shingles(data, offsets)
                 sizes = np.array([len(s) for s in sets])
-                signature = super_minhash(np.concatenate(sets), np.repeat(np.arange(j - i), sizes), j - i)
-                bands, bits = band_hashes(signature), sketch(signature)
+                joined, owner = np.concatenate(sets), np.repeat(np.arange(j - i), sizes)
+                bands, bits = band_hashes(super_minhash(joined, owner, j - i)), bitmaps(joined, owner, j - i)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * bands.shape[1]), pa.array(bands.reshape(-1)))
                 yield pa.record_batch(
-                    [ids.slice(i, j - i), pa.array(sizes.astype(np.int64)), pa.array([_key(s) for s in sets], pa.binary()), lists, *[pa.array(bits[:, k].copy()) for k in range(3)]],
-                    ["doc_id", "n", "c", "bands", "s0", "s1", "s2"],
+                    [ids.slice(i, j - i), pa.array(sizes.astype(np.int64)), pa.array([_key(s) for s in sets], pa.binary()), lists, *[pa.array(bits[:, k].copy()) for k in range(MARKS)]],
+                    ["doc_id", "n", "c", "bands", *_MARK_NAMES],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, c binary, bands array<long>, s0 long, s1 long, s2 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, c binary, bands array<long>, " + ", ".join(f"{m} long" for m in _MARK_NAMES))
 
 
 def _near(a: str, b: str, percent: int) -> Column:
-    """Whether sizes and sketches leave it open that two sets are similar enough: sketches six deviations below what is expected."""
-    p = percent / 100.0
-    agree = (1 + p) / 2
-    least = SLOTS * agree - 6 * (SLOTS * agree * (1 - agree)) ** 0.5
-    apart = sum((F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(3)), F.lit(0))
-    small, big = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    return (100 * small >= percent * big) & (apart <= SLOTS - least)
+    """False only where the sets cannot be similar enough: 100 * intersection >= percent * union holds exactly if
+    (100 + percent) * (elements in one set alone) <= (100 - percent) * (sum of the sizes), and bitmaps differ in no more bits than that."""
+    apart = sum((F.bit_count(F.col(f"{a}.{m}").bitwiseXOR(F.col(f"{b}.{m}"))) for m in _MARK_NAMES), F.lit(0))
+    least = F.greatest(apart, F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")))
+    return (100 + percent) * least <= (100 - percent) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -178,11 +183,9 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("w"))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("w").alias("v")).distinct()
-        large = staged(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("w"))
-        small = large.join(least, "u")
-        small = small.where(F.col("v") != F.col("w")).select(F.col("v").alias("u"), F.col("w").alias("v")).unionByName(least.select("u", F.col("w").alias("v"))).distinct()
-        edges = staged(small, "small")
+        small = large.join(least, "u").where(F.col("v") != F.col("w")).select(F.col("v").alias("u"), F.col("w").alias("v"))
+        edges = staged(small.unionByName(least.select("u", F.col("w").alias("v"))).distinct(), "edges")
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).collect()[0]
         if state == now:
             break
@@ -203,11 +206,11 @@ def group(docs: DataFrame, percent: int = 85) -> DataFrame:
     rows = staged(signatures(docs), "signatures")
     linked = rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = staged(
-        linked.groupBy("c").agg(F.min(F.struct("doc_id", "n", "s0", "s1", "s2", "bands")).alias("x")).select("c", "x.*"),
+        linked.groupBy("c").agg(F.min(F.struct("doc_id", "n", "bands", *_MARK_NAMES)).alias("x")).select("c", "x.*"),
         "classes",
     )
-    slim = classes.select(F.explode("bands").alias("b"), "c", "n", "s0", "s1", "s2")
-    shared = staged(slim.groupBy("b").agg(F.count("*").alias("size")).where("size > 1").select("b"), "shared")
+    slim = classes.select(F.explode("bands").alias("b"), "c")
+    shared = slim.groupBy("b").agg(F.count("*").alias("size")).where("size > 1").select("b")
     members = staged(slim.join(shared, "b"), "members")
     labels = _linked(docs, classes, members, percent)
     owner = classes.select("c", "doc_id").join(labels, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
@@ -219,50 +222,50 @@ def group(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def _linked(docs: DataFrame, classes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """(c, comp) of all classes that are linked with another one."""
-    spark = docs.sparkSession
-    labels = spark.createDataFrame([], "c binary, comp binary")
+    """(c, comp) of all classes that share a bucket with another one; comp is the class's own key where nothing links."""
+    own = members.select("c").distinct().withColumn("comp", F.col("c"))
+    labels = staged(own, "labels")
     total = members.count()
     if not total:
         return labels
-    need = members.select("c").distinct().join(classes.select("c", "doc_id"), "c")
-    texts = _texts(docs, need)
-    tested: DataFrame | None = None
-    links: DataFrame | None = None
+    need = staged(labels.select("c").join(classes.select("c", "doc_id", "n", *_MARK_NAMES), "c"), "need")
+    texts = _texts(docs, need.select("c", "doc_id"), need.count())
+    marks, tested, before = need.drop("doc_id"), None, total
     for turn in range(LEADER_ROUNDS + 1):
-        now = members.join(labels, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+        now = members.join(labels, "c")
         split = now.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("b")
-        now = staged(now.join(split, "b"), "open")
+        now = staged(now.join(split, "b").join(marks, "c"), "open")
         by = now.groupBy("b", "comp").agg(F.count("*").alias("k")).groupBy("b").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("q"))
-        left = by.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2), F.lit(0.0)).alias("pairs")).collect()[0]["pairs"]
-        if not left:
+        found = by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2), F.lit(0.0)).alias("pairs")).collect()[0]
+        if not found["rows"]:
             break
-        last = left <= FEW * total or turn == LEADER_ROUNDS
+        slow = turn and found["rows"] > (1 - SETTLED) * before
+        last = found["pairs"] <= total or slow and found["pairs"] <= MANY * total or turn == LEADER_ROUNDS
+        before = found["rows"]
         if last:
             one = now
         else:
-            order = F.struct(F.xxhash64("c", F.lit(turn)).alias("o"), "c", "comp", "n", "s0", "s1", "s2")
-            one = now.groupBy("b").agg(F.min(order).alias("x")).select("b", "x.c", "x.comp", "x.n", "x.s0", "x.s1", "x.s2")
+            order = F.struct(F.xxhash64("c", F.lit(turn)).alias("o"), "c", "comp", "n", *_MARK_NAMES)
+            one = now.groupBy("b").agg(F.min(order).alias("x")).select("b", "x.*").drop("o")
         x, y = one.alias("x"), now.alias("y")
         apart = (F.col("x.b") == F.col("y.b")) & (F.col("x.comp") != F.col("y.comp")) & _near("x", "y", percent)
         if last:
             apart = apart & (F.col("x.c") < F.col("y.c"))
-        met = y.join(x, apart)
-        # A leader's pairs go both ways; the hub comes first, so that its text is joined to many and parsed once.
-        pairs = met.select(F.col("x.c").alias("a"), F.col("y.c").alias("m")).distinct()
+        pairs = y.join(x, apart).select(F.col("x.c").alias("a"), F.col("y.c").alias("m")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "m"], "left_anti")
         pairs = staged(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        found = staged(verified(pairs, texts, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = staged(components(links.select(F.col("a").alias("u"), F.col("m").alias("v"))).select(F.col("node").alias("c"), "comp"), "labels")
+        links = verified(pairs, texts, percent)
+        ends = links.join(labels.select(F.col("c").alias("a"), F.col("comp").alias("u")), "a").join(labels.select(F.col("c").alias("m"), F.col("comp").alias("v")), "m")
+        merged = components(ends.select("u", "v")).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+        labels = staged(labels.join(merged, "comp", "left").select("c", F.coalesce("to", "comp").alias("comp")), "labels")
         if last:
             break
     return labels
 
 
-def _texts(docs: DataFrame, need: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, need: DataFrame, size: int) -> DataFrame:
     """(c, text) of the wanted classes (c, doc_id), from a document whose text has the class's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,5 +275,5 @@ def _texts(docs: DataFrame, need: DataFrame) -> DataFrame:
                 keep = [i + k for k, s in enumerate(shingles(data, offsets)) if _key(s) == wanted[i + k]]
                 yield pa.record_batch([pa.array([wanted[k] for k in keep], pa.binary()), batch.column("text").take(pa.array(keep, pa.int64()))], ["c", "text"])
 
-    found = docs.join(need, "doc_id").select("c", "text").mapInArrow(run, "c binary, text string")
+    found = docs.join(F.broadcast(need) if size <= COPIED else need, "doc_id").select("c", "text").mapInArrow(run, "c binary, text string")
     return staged(found.dropDuplicates(["c"]), "texts")
