@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphlake.llm.common import fold_of, table
+from glyphlake.llm.oracles import ORACLES as ORACLES
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,5 +92,3 @@ QUERIES = {
         op10_quality_rules,
     )
 }
-
-ORACLES: dict[str, str] = {}
