@@ -211,13 +211,10 @@ def fingerprints(docs: DataFrame, slices: int = 0) -> DataFrame:
     firsts = keyed.groupBy("slice").agg(F.max(order).alias("x")).orderBy("slice").collect()  # a row per slice
     present = [int(r["slice"]) for r in firsts]
     heads = {s: (r["x"]["id"] if r["x"]["has"] else None, r["x"]["t"]) for s, r in zip(present, firsts, strict=True)}
-    # Each slice's first row also goes, marked, to the end of the slice before it.
-    tail = [((present[k - 1]), heads[s]) for k, s in enumerate(present)]
-    also = F.lit(None).cast("int")
-    for before, (doc_id, t) in tail:
-        here = F.col("doc_id").isNull() if doc_id is None else F.col("doc_id") == F.lit(doc_id)
-        also = F.when(here & (F.col("t") == F.lit(t)), F.lit(before)).otherwise(also)
-    keyed = keyed.withColumn("also", also)
+    # Each slice's first row also goes, marked, to the end of the slice before it: a lookup with a row per slice.
+    ahead = spark.createDataFrame([(*heads[s], present[k - 1]) for k, s in enumerate(present)], "h_id long, h_t long, also int")
+    match = keyed["doc_id"].eqNullSafe(ahead["h_id"]) & (keyed["t"] == ahead["h_t"])
+    keyed = keyed.join(F.broadcast(ahead), match, "left").drop("h_id", "h_t")
     places = F.array(F.struct(F.col("slice").alias("at"), F.lit(False).alias("extra")), F.struct(F.col("also").alias("at"), F.lit(True).alias("extra")))
     dealt = keyed.select("doc_id", "text", "t", F.explode(F.filter(places, lambda p: p["at"].isNotNull())).alias("p")).select("doc_id", "text", "t", "p.at", "p.extra")
     dealt = dealt.repartition(max(1, slices), "at").sortWithinPartitions("at", "extra", F.desc_nulls_last("doc_id"), F.desc("t"))
