@@ -40,19 +40,24 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: personal data in the texts is replaced by its kind; n_chars follows."""
-    found = pii.identify(docs, *docs.columns)
-    text = F.when(F.size("spans") > 0, pii.redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    out = found.withColumn("text", text)
-    return out.select(*[F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_rest")  # apart, so that no name clashes
+    found = pii.identify(docs.select(rest, "text"), "_rest", "text")
+    text = F.when(F.col("text").isNotNull() & (F.size("spans") > 0), pii.redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    found = found.select("_rest", text.alias("text"))
+    columns = {c: F.col("text") if c == "text" else F.col("_rest").getField(c) for c in docs.columns}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)
+    return found.select(*[column.alias(c) for c, column in columns.items()])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: each document as often as the mix takes it."""
-    picks = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies"))
-    picks = staged(picks.where("_copies > 0"), "picks")
-    sized = docs.withColumn("_words", F.size(words(F.col("text"))).cast("long"))
-    match = sized["doc_id"].eqNullSafe(picks["_id"]) & sized["source"].eqNullSafe(picks["_source"]) & (sized["_words"] == picks["_size"])
-    return sized.join(picks, match).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    own = [F.col("doc_id").alias("_gl_id"), F.col("source").alias("_gl_source"), F.col("size").alias("_gl_size")]
+    picks = staged(mixing.mix(docs).groupBy(*own).agg(F.max("copies").cast("int").alias("_gl_copies")).where("_gl_copies > 0"), "picks")
+    sized = docs.withColumn("_gl_words", F.size(words(F.col("text"))).cast("long"))
+    match = sized["doc_id"].eqNullSafe(picks["_gl_id"]) & sized["source"].eqNullSafe(picks["_gl_source"]) & (sized["_gl_words"] == picks["_gl_size"])
+    copies = F.explode(F.sequence(F.lit(1), F.col("_gl_copies"))).alias("_gl_copy")
+    return sized.join(picks, match).select(*docs.columns, copies).drop("_gl_copy")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from glyphlake.llm.common import labelled_sample, span_hashes, sums_by, text_blocks, utf8, word_bounds
 
@@ -132,7 +133,7 @@ def score(docs: DataFrame, model: Model, *keep: str, name: str = "score") -> Dat
     """(keep..., score): probability of class 1 of every whole text. Null, empty and blank texts get the bias alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     slim = docs.select(*keep, "text") if "text" not in keep else docs.select(*keep)
-    types = ", ".join(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in keep)
+    schema = StructType([*[slim.schema[c] for c in keep], StructField(name, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, bias = shared.value
@@ -146,4 +147,4 @@ def score(docs: DataFrame, model: Model, *keep: str, name: str = "score") -> Dat
                 out[i:j] = 1 / (1 + np.exp(-(total / np.maximum(n, 1) + bias)))
             yield pa.record_batch([*[batch.column(c) for c in keep], pa.array(out)], [*keep, name])
 
-    return slim.mapInArrow(run, f"{types}, {name} double")
+    return slim.mapInArrow(run, schema)

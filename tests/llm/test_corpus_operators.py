@@ -453,6 +453,8 @@ def test_pipeline_stages(spark, sf_dir, tokenizer):
 
 def test_pipeline_of_odd_rows(spark, sf_dir, odd):
     docs = odd
+    for name in ("score", "email", "spans", "base", "copies", "size", "target", "kept", "n", "c", "rank", "cell", "length", "piece", "token", "y", "key", "host"):
+        docs = docs.withColumn(name, F.lit(name))
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.count() > 0
