@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphlake.functions.vectors import sq_l2
@@ -73,10 +73,38 @@ def _nearest(desc: DataFrame, shared, vec: str, first: bool) -> DataFrame:
     return desc.mapInArrow(run, f"{types}, word_id int, sq double")
 
 
+#: Words whose sums a task holds before it passes them on.
+HELD = 4096
+
+
 def means(assigned: DataFrame, word: str = "word_id", vec: str = "vec") -> DataFrame:
-    """(word_id, centroid) of the mean vector of each word, dimension by dimension; empty words have no row."""
-    long = assigned.select(F.col(word).alias("word_id"), F.posexplode(vec).alias("dim", "x"))
-    by_dim = long.groupBy("word_id", "dim").agg(F.avg("x").alias("x"))
+    """(word_id, centroid) of the mean vector of each word; empty words have no row.
+
+    Tasks add up vectors in numpy, so that what is shuffled follows the vocabulary and not the descriptors.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        counts: dict[int, int] = {}
+
+        def passed_on() -> pa.RecordBatch:
+            out = pa.record_batch([pa.array(list(sums), pa.int32()), pa.array(list(counts.values()), pa.int64()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))], ["word_id", "n", "total"])
+            sums.clear()
+            counts.clear()
+            return out
+
+        for batch in batches:
+            x, w = _matrix(batch.column(vec)), batch.column(word).to_numpy()
+            for k in np.unique(w).tolist():
+                own = x[w == k]
+                sums[k] = sums.get(k, 0) + own.sum(axis=0)
+                counts[k] = counts.get(k, 0) + len(own)
+            if len(sums) > HELD:
+                yield passed_on()
+        yield passed_on()
+
+    parts = assigned.select(F.col(word).cast("int").alias(word), vec).mapInArrow(run, "word_id int, n long, total array<double>")
+    by_dim = parts.select("word_id", "n", F.posexplode("total").alias("dim", "x")).groupBy("word_id", "dim").agg((F.sum("x") / F.sum("n")).alias("x"))
     packed = F.array_sort(F.collect_list(F.struct("dim", "x")))
     return by_dim.groupBy("word_id").agg(F.transform(packed, lambda p: p["x"]).alias("centroid"))
 
@@ -159,7 +187,3 @@ def feature_cap(images: DataFrame, n: str, most: int, key: str = "image_id") ->
 def sample(images: DataFrame, count: int, seed: int = 0, key: str = "image_id") -> DataFrame:
     """C11: count images by a hash of the seed and the id; all of them where there are fewer."""
     return images.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(count)
-
-
-def hash_order(key: Column, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), key)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from glyphlake.functions.vectors import sq_l2
 from glyphlake.operators.bow import word_weights
-from glyphlake.operators.cluster import _matrix
+from glyphlake.operators.cluster import _matrix, means
 from glyphlake.sources.tables import staged
 
 SCHEMA = "node_id int, parent_id int, level int, centroid array<double>, weight double, word_id int"
@@ -64,9 +64,7 @@ def _seed(state: DataFrame, nodes: list[int], split: int, seed: int) -> dict[int
 
 
 def _means(assigned: DataFrame) -> dict[int, np.ndarray]:
-    long = assigned.select("node_id", F.posexplode("vec").alias("dim", "x")).groupBy("node_id", "dim").agg(F.avg("x").alias("x"))
-    packed = long.groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda p: p["x"]).alias("c"))
-    return {r["node_id"]: np.array(r["c"]) for r in packed.collect()}
+    return {r["word_id"]: np.array(r["centroid"]) for r in means(assigned, "node_id").collect()}
 
 
 def train_tree(desc: DataFrame, depth: int = 4, split: int = 6, seed: int = 0, max_iter: int = 20, weighting: str = "tf_idf", unit: bool = False) -> DataFrame:

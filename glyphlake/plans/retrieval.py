@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphlake.functions.scalars import result_csv
+from glyphlake.functions.scalars import bow_line, match_line, result_csv
 from glyphlake.operators import bow, evaluate, index, report, search, tree, verify
 from glyphlake.plans.vocabulary import BOW, DESC, TOKENS, TREE, _node_counts, _node_weights, desc_of, image_bow
-from glyphlake.sources.tables import read, tokens
+from glyphlake.sources.tables import read, staged, tokens
 
 TEXT_BOW = TOKENS + """,
 tb0 AS (SELECT image_id, word, n * weight AS value FROM t JOIN tw USING (word) WHERE weight > 0),
@@ -123,7 +123,7 @@ def cosine_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_node_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = _node_counts(spark, sf_dir)
-    vectors = tree.node_vectors(counts, _node_weights(counts)).where("value > 0")
+    vectors = staged(tree.node_vectors(counts, _node_weights(counts)).where("value > 0"), "node_vectors")
     return _out(search.search_nodes(vectors, vectors, 4096, 4))
 
 
@@ -193,12 +193,32 @@ def match_page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.match_rows(_marked(spark, sf_dir), _names(spark, sf_dir))
 
 
+def match_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole pages of match rows; of each page its number of rows and its length."""
+    whole = report.pages(match_page_rows(spark, sf_dir))
+    return whole.select("page", F.size(F.split("html", "<tr>")).alias("parts"), F.length("html").alias("chars"))
+
+
+def bow_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each image's vector in print, and as a dense line of the codebook's words."""
+    vectors = image_bow(spark, sf_dir)
+    pairs = F.array_sort(F.collect_list(F.struct("word_id", "value")))
+    printed = vectors.groupBy("image_id").agg(pairs.alias("pairs")).select("image_id", bow_line(F.col("pairs")).alias("printed"))
+    return printed.join(bow.dense_lines(vectors, 10), "image_id")
+
+
+def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first results of each query in short form."""
+    rows = F.array_sort(F.collect_list(F.struct("rank", "image_id")))
+    return flagship(spark, sf_dir).groupBy("query_id").agg(rows.alias("r")).select("query_id", match_line(F.transform("r", lambda x: x["image_id"])).alias("line"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         flagship, idf_flat, stop_words, bow_documents, postings_build, postings_add, postings_remove, index_entries, search_documents, l1_similarity, l1_distance,
         candidate_cutoff, search_min_hist, cosine_sim, search_node_l2, group_score, mean_score, ground_truth, ratio_match, ransac_verify, good_match, validate_top,
-        result_names, match_page_rows,
+        result_names, match_page_rows, match_pages, bow_lines, result_lines,
     )
 }
 
@@ -213,6 +233,8 @@ _MATCHES = """dd AS (SELECT q.image_id AS query_id, i.image_id, q.kp_id AS kp_q,
 r1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, image_id, kp_q ORDER BY sq, kp_t) AS rn, lead(sq) OVER (PARTITION BY query_id, image_id, kp_q ORDER BY sq, kp_t) AS nx FROM dd),
 r2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, image_id, kp_t ORDER BY sq, kp_q) AS rn, lead(sq) OVER (PARTITION BY query_id, image_id, kp_t ORDER BY sq, kp_q) AS nx FROM dd)"""
 
+CELLS = " || ' ' || ".join(f"printf('%.4f', coalesce(max(CASE WHEN word_id = {k} THEN value END), 0.0::DOUBLE))" for k in range(10))
+
 ORACLES = {
     "flagship": f"WITH {SCORED} SELECT query_id, image_id, round(score, 6) AS score, rank FROM r",
     "idf_flat": f"WITH {TOKENS} SELECT word, round(weight, 6) AS idf FROM tw",
@@ -250,4 +272,7 @@ FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INTEGER) * 1.0::DOUBLE
     "validate_top": f"WITH {_MARKED} SELECT query_id, image_id, rank, mark FROM m",
     "result_names": f"WITH {_MARKED} SELECT query_id, coalesce(string_agg(name, ',' ORDER BY rank) FILTER (WHERE mark > 0), '-1') AS names FROM m GROUP BY query_id",
     "match_page_rows": f"""WITH {_MARKED} SELECT query_id // 20 AS page, query_id, '<tr>' || string_agg('<td style="border:3px solid ' || CASE WHEN mark > 0 THEN 'green' WHEN mark < 0 THEN 'red' ELSE 'black' END || '"><img src="' || name || '"/></td>', '' ORDER BY rank) || '</tr>' AS html FROM m GROUP BY query_id""",
+    "bow_lines": f"""WITH {BOW} SELECT image_id, string_agg('<' || word_id || ', ' || printf('%.6f', value) || '>', ' ' ORDER BY word_id) AS printed,
+{CELLS} AS line FROM b GROUP BY image_id""",
+    "result_lines": f"WITH {SCORED} SELECT query_id, string_agg(CAST(image_id AS VARCHAR), ' ' ORDER BY rank) AS line FROM r GROUP BY query_id",
 }

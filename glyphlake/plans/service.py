@@ -11,7 +11,7 @@ from glyphlake.functions import scalars
 from glyphlake.operators import collections, imageops, registry
 from glyphlake.operators.cluster import feature_cap as cap_features
 from glyphlake.plans.vocabulary import DESC, desc_of
-from glyphlake.sources import tables
+from glyphlake.sources import formats, tables
 from glyphlake.sources.tables import read
 from glyphlake.streaming.ingest import latest_actions
 
@@ -152,6 +152,12 @@ def to_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imageops.to_gray(colour)
 
 
+def list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of the tables' folder by their extension, each with its folder."""
+    files = formats.list_files(spark, sf_dir, ".parquet")
+    return files.select(scalars.base_name(F.col("path")).alias("name"), F.col("length")).where("length > 0")
+
+
 def registry_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.standard().describe(spark)
 
@@ -160,7 +166,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         add_user, find_user, delete_user, users_left, user_location, add_image_status, remove_image, list_images, image_lookup, feature_path, file_name, group_of_four,
-        epoch_seconds, number_images, next_id, missing_features, vectors_or_empty, feature_cap, index_actions, integral_image, hough_votes, hough_lines, to_gray, registry_list,
+        epoch_seconds, number_images, next_id, missing_features, vectors_or_empty, feature_cap, index_actions, integral_image, hough_votes, hough_lines, to_gray, list_files, registry_list,
     )
 }
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphlake.functions import vectors
 from glyphlake.operators import bow, cluster, tree
-from glyphlake.sources.tables import descriptors, read
+from glyphlake.sources.tables import descriptors, read, staged
 
 #: DuckDB: descriptors, exploded; the codebook of mean vectors per label; nearest words; histograms; weights; tf-idf vectors.
 DESC = """d AS (SELECT vec_id, vec_id // 5 AS image_id, CAST(vec_id % 5 AS INTEGER) AS kp_id, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings),
@@ -166,7 +166,7 @@ def _tree(desc: DataFrame) -> DataFrame:
     key = (2 * F.col("label") + F.col("vec_id") % 2).cast("int")
     two = cluster.means(desc.withColumn("key", key), "key").select((F.col("word_id") + 100).cast("int").alias("node_id"), (F.floor(F.col("word_id") / 2) + 1).cast("int").alias("parent_id"), F.lit(2).alias("level"), "centroid")
     root = desc.sparkSession.createDataFrame([(0, None, 0, None)], "node_id int, parent_id int, level int, centroid array<double>")
-    nodes = root.unionByName(one).unionByName(two)
+    nodes = staged(root.unionByName(one).unionByName(two), "tree")
     return tree.create_words(nodes.withColumn("word_id", F.lit(None).cast("int"))).withColumn("weight", F.lit(1.0))
 
 
@@ -183,7 +183,7 @@ def _node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     desc = desc_of(spark, sf_dir)
     nodes = _tree(desc)
     leaves = tree.descend(desc, nodes).select("image_id", F.col("node_id").alias("leaf"))
-    return tree.node_counts(leaves, tree.ancestors(nodes, 2))
+    return staged(tree.node_counts(leaves, tree.ancestors(nodes, 2)), "node_counts")
 
 
 def node_path_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

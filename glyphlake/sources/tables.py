@@ -19,7 +19,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     base = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/glyphlake-{spark.sparkContext.applicationId}"
     path = f"{base.rstrip('/')}/glyphlake/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def descriptors(df: DataFrame, vec: str = "embedding", key: str = "vec_id", per_image: int = 5) -> DataFrame:
