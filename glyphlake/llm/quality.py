@@ -66,20 +66,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
 BUCKETS = (max(GRAMS)) << BITS
 
 
-def _sparse(docs: DataFrame) -> DataFrame:
-    """(y, ids, parts): each training text's distinct buckets and their shares of its features."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            y, (data, offsets) = batch.column("y").to_pylist(), utf8(batch.column("text"))
-            for i in range(len(y)):
-                own = data[offsets[i] : offsets[i + 1]]
-                found = np.concatenate([b for b, _ in features(own, np.array([0, len(own)]))])
-                ids, n = np.unique(found, return_counts=True)
-                parts = (n / max(1, len(found))).astype(np.float32)
-                yield pa.record_batch([pa.array([y[i]], pa.int32()), pa.array([ids.astype("<i4").tobytes()]), pa.array([parts.tobytes()])], ["y", "ids", "parts"])
-
-    return docs.select("y", "text").mapInArrow(run, "y int, ids binary, parts binary")
+def sparse(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A text's distinct buckets and their shares of its features."""
+    found = np.concatenate([b for b, _ in features(data, np.array([0, len(data)]))])
+    ids, n = np.unique(found, return_counts=True)
+    return ids.astype(np.int32), (n / max(1, len(found))).astype(np.float32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "quality", per_class: int = PER_CLASS) -> Model:
@@ -93,13 +84,23 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "quality"
     prior = float(np.log((n.get(1, 0) + 1) / (n.get(0, 0) + 1)))
     if len(n) < 2:
         return Model(np.zeros(BUCKETS, np.float32), prior)
-    rows = _sparse(labelled_sample(docs, labels, label, keep, per_class, "quality")).toArrow()
-    xs = [(np.frombuffer(i.as_py(), "<i4"), np.frombuffer(p.as_py(), np.float32)) for i, p in zip(rows.column("ids"), rows.column("parts"), strict=True)]
-    ys = rows.column("y").to_numpy()
-    # The sample comes in the order of its tasks; a fixed order makes reruns agree.
-    order = sorted(range(len(xs)), key=lambda i: (len(xs[i][0]), xs[i][0][:64].tobytes(), int(ys[i])))
-    weight, bias = train([xs[i] for i in order], ys[order])
-    return Model(weight, bias + prior)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        xs, ys = [], []
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            xs += [sparse(data[offsets[i] : offsets[i + 1]]) for i in range(batch.num_rows)]
+            ys += batch.column("y").to_pylist()
+        if xs:
+            weight, bias = train(xs, np.array(ys))
+            yield pa.record_batch([pa.array([weight.astype("<f4").tobytes()]), pa.array([bias])], ["weight", "bias"])
+
+    # The bounded sample meets in one task, in the order of ids, so that reruns agree; the driver gets the fitted numbers alone.
+    sample = labelled_sample(docs, labels, label, keep, per_class, "quality").repartition(1).sortWithinPartitions("doc_id", "y")
+    fitted = sample.select("text", "y").mapInArrow(run, "weight binary, bias double").collect()
+    if not fitted:
+        return Model(np.zeros(BUCKETS, np.float32), prior)
+    return Model(np.frombuffer(fitted[0]["weight"], "<f4"), fitted[0]["bias"] + prior)
 
 
 def train(xs: list[tuple[np.ndarray, np.ndarray]], ys: np.ndarray, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> tuple[np.ndarray, float]:
