@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphlake.sources.tables import read as table
+from glyphlake.sources.tables import staged, unstage
+
+__all__ = ["SPACES", "WORD", "fold_of", "labelled_sample", "mix64", "span_hashes", "spans", "staged", "sums_by", "table", "text_blocks", "uniform", "unstage", "utf8", "word_bounds", "words"]
+
 #: Java regular expression of a word: anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -20,26 +23,6 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 BLOCK_BYTES = 1 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder for staged tables (``spark.checkpoint.dir``); a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"{tempfile.gettempdir()}/glyphlake-{spark.sparkContext.applicationId}"
-    return f"{base.rstrip('/')}/glyphlake"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, and survives the loss of any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words(text: Column) -> Column:
     """Array of the words of a text; empty for null, empty and blank texts."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import mix64, span_hashes, staged, text_blocks, utf8, word_bounds
+from glyphlake.llm.common import mix64, span_hashes, staged, text_blocks, unstage, utf8, word_bounds
 
 #: Signature slots; bands of ROWS slots each: a pair at similarity 0.85 shares no band with probability 7e-9.
 SLOTS, ROWS = 160, 5
@@ -185,7 +185,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("w").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("w"))
         small = large.join(least, "u").where(F.col("v") != F.col("w")).select(F.col("v").alias("u"), F.col("w").alias("v"))
-        edges = staged(small.unionByName(least.select("u", F.col("w").alias("v"))).distinct(), "edges")
+        before, edges = edges, staged(small.unionByName(least.select("u", F.col("w").alias("v"))).distinct(), "edges")
+        unstage(before)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).collect()[0]
         if state == now:
             break
@@ -216,6 +217,7 @@ def group(docs: DataFrame, percent: int = 85) -> DataFrame:
     owner = classes.select("c", "doc_id").join(labels, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     least = owner.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     found = staged(owner.join(least, "comp").select("c", "component_id"), "found")
+    unstage(classes, members, labels)
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("c")).alias("c")).join(found, "c", "left")
     own = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
@@ -230,7 +232,7 @@ def _linked(docs: DataFrame, classes: DataFrame, members: DataFrame, percent: in
         return labels
     need = staged(labels.select("c").join(classes.select("c", "doc_id", "n", *_MARK_NAMES), "c"), "need")
     texts = _texts(docs, need.select("c", "doc_id"), need.count())
-    marks, tested, before = need.drop("doc_id"), None, total
+    marks, tested, before, kept = need.drop("doc_id"), None, total, []
     for turn in range(LEADER_ROUNDS + 1):
         now = members.join(labels, "c")
         split = now.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("b")
@@ -256,12 +258,15 @@ def _linked(docs: DataFrame, classes: DataFrame, members: DataFrame, percent: in
             pairs = pairs.join(tested, ["a", "m"], "left_anti")
         pairs = staged(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = verified(pairs, texts, percent)
+        old, links = labels, verified(pairs, texts, percent)
         ends = links.join(labels.select(F.col("c").alias("a"), F.col("comp").alias("u")), "a").join(labels.select(F.col("c").alias("m"), F.col("comp").alias("v")), "m")
         merged = components(ends.select("u", "v")).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
         labels = staged(labels.join(merged, "comp", "left").select("c", F.coalesce("to", "comp").alias("comp")), "labels")
+        unstage(old, now)
+        kept.append(pairs)
         if last:
             break
+    unstage(texts, need, *kept)
     return labels
 
 
