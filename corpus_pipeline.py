@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphlake.llm import mixing, neardup, packing, pii, quality
-from glyphlake.llm.common import fold_of, staged, table, words
+from glyphlake.llm.common import fold_of, staged, table
 
 #: Tokens of a packed sequence; least quality score that stays.
 CAPACITY = 2048
@@ -52,12 +52,9 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: each document as often as the mix takes it."""
-    own = [F.col("doc_id").alias("_gl_id"), F.col("source").alias("_gl_source"), F.col("size").alias("_gl_size")]
-    picks = staged(mixing.mix(docs).groupBy(*own).agg(F.max("copies").cast("int").alias("_gl_copies")).where("_gl_copies > 0"), "picks")
-    sized = docs.withColumn("_gl_words", F.size(words(F.col("text"))).cast("long"))
-    match = sized["doc_id"].eqNullSafe(picks["_gl_id"]) & sized["source"].eqNullSafe(picks["_gl_source"]) & (sized["_gl_words"] == picks["_gl_size"])
-    copies = F.explode(F.sequence(F.lit(1), F.col("_gl_copies"))).alias("_gl_copy")
-    return sized.join(picks, match).select(*docs.columns, copies).drop("_gl_copy")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")  # apart, so that no name clashes
+    taken = mixing.mix(docs.select(whole, "doc_id", "text", "source"), "_doc").where("copies > 0")
+    return taken.select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_doc.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import staged, uniform, words
+from glyphlake.llm.common import staged, uniform, unstage, words
 
 #: The weights of sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -41,37 +41,51 @@ def targets(sizes: DataFrame, share: float, most: float) -> DataFrame:
     return step.withColumn("level", first).select("key", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken): how often the mix takes each document.
+def mix(docs: DataFrame, *keep: str, share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
+    """(keep..., size, source_size, target, copies, taken): how often the mix takes each document.
 
     A null text has size 0 and is never taken; documents of a null source form the last source. A document is taken at
-    most ceil(most) times. The rank depends on the seed and the id alone, so reruns agree; rows that share an id get the
-    same rank and are cut among themselves by size. An empty table gives no rows. Other columns are ignored.
+    most ceil(most) times. The rank depends on the seed and the id alone, so reruns agree; rows that share id, source and
+    size are taken alike. An empty table gives no rows. Columns besides doc_id, text, source and keep are ignored, and
+    those of keep must not bear the names of the result's own.
+
+    What a document needs to know are its source's numbers, and in the bin of the cut its own place: two small tables,
+    so texts need not move.
     """
-    slim = staged(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), _key(F.col("source")).alias("key")), "sizes")
-    goals = staged(targets(slim.groupBy("key").agg(F.sum("size").alias("source_size")), share, most), "targets")
+    keys = [F.size(words(F.col("text"))).cast("long").alias("size"), _key(F.col("source")).alias("key"), uniform(F.lit(seed), F.col("doc_id")).alias("u")]
+    slim = staged(docs.select("doc_id", *keys), "sizes")
+    goals = targets(slim.groupBy("key").agg(F.sum("size").alias("source_size")), share, most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    u = uniform(F.lit(seed), F.col("doc_id"))
-    odds = F.col("part") / (1 - F.col("part"))
-    ranked = (
-        slim.join(goals, "key")
-        .withColumn("whole", F.floor(ratio))
-        .withColumn("part", ratio - F.col("whole"))
-        .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-        .withColumn("q", F.when(F.col("part") > 0, (u / (1 - u)) / odds))
-        .withColumn("at", F.coalesce(F.floor(F.col("q") / (1 + F.col("q")) * BINS**3), F.lit(0)).cast("long"))
-    )
-    ranked = staged(ranked, "ranked")
+    goals = goals.withColumn("whole", F.floor(ratio)).withColumn("part", ratio - F.col("whole")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    goals = staged(goals, "targets")
+    ranked = staged(slim.join(goals, "key").withColumn("at", _bin()), "ranked")
     cut = _cut(ranked)
-    chosen = ranked.join(cut, "key", "left")
-    before = Window.partitionBy("key", "doc_bin").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = (F.col("at") == F.col("edge")) & (F.col("part") > 0)
-    front = chosen.where(~F.coalesce(edge, F.lit(False))).withColumn("extra", F.when((F.col("part") > 0) & (F.col("at") < F.col("edge")), 1).otherwise(0))
-    last = chosen.where(edge).withColumn("doc_bin", F.col("at"))
-    last = last.withColumn("extra", (F.col("words_before") + F.coalesce(F.sum("size").over(before), F.lit(0)) + F.col("size") / 2 <= F.col("rest")).cast("int"))
-    both = front.unionByName(last.drop("doc_bin"))
-    copies = (F.col("whole") + F.col("extra")).cast("long")
-    return both.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    goals = staged(goals.join(cut, "key", "left"), "cuts")
+    before = Window.partitionBy("key", "at").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    last = ranked.where("part > 0").join(cut, "key").where(F.col("at") == F.col("edge")).withColumn("q", _odds())
+    fits = F.col("words_before") + F.coalesce(F.sum("size").over(before), F.lit(0)) + F.col("size") / 2 <= F.col("rest")
+    last = last.withColumn("_fits", fits.cast("int")).groupBy("key", F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max("_fits").alias("_fits"))
+    last = staged(last, "last")
+    unstage(slim, ranked)
+    # Names of keep may be anything: they travel in a struct of their own.
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_keep"), "doc_id", *keys).join(goals, "key").withColumn("at", _bin())
+    match = (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("size") == F.col("_size"))
+    own = own.join(last.withColumnRenamed("key", "_key"), match, "left")
+    extra = F.when((F.col("part") > 0) & ((F.col("at") < F.col("edge")) | ((F.col("at") == F.col("edge")) & (F.col("_fits") == 1))), 1).otherwise(0)
+    copies = (F.col("whole") + extra).cast("long")
+    return own.select("_keep.*", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def _odds() -> Column:
+    """Pareto rank: random odds over inclusion odds; null where nothing is drawn."""
+    u, part = F.col("u"), F.col("part")
+    return F.when(part > 0, (u / (1 - u)) / (part / (1 - part)))
+
+
+def _bin() -> Column:
+    """The rank's place among BINS ** 3, ascending."""
+    q = _odds()
+    return F.coalesce(F.floor(q / (1 + q) * BINS**3), F.lit(0)).cast("long")
 
 
 def _cut(ranked: DataFrame) -> DataFrame:

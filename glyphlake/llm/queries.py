@@ -68,7 +68,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphlake.llm.mixing import mix
 
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -416,11 +416,11 @@ def test_mix_of_tables(spark, sf_dir):
 
 
 def test_mix_edges(spark, odd):
-    got = mixing.mix(odd).collect()
+    got = mixing.mix(odd, "doc_id").collect()
     assert len(got) == len(ODD)
     assert all(r["taken"] <= 2 * r["size"] for r in got)
-    assert mixing.mix(odd.limit(0)).count() == 0
-    empty = mixing.mix(spark.createDataFrame([(1, None, "a"), (2, "", "b")], "doc_id long, text string, source string")).collect()
+    assert mixing.mix(odd.limit(0), "doc_id").count() == 0
+    empty = mixing.mix(spark.createDataFrame([(1, None, "a"), (2, "", "b")], "doc_id long, text string, source string"), "doc_id").collect()
     assert [(r["target"], r["taken"]) for r in empty] == [(0.0, 0), (0.0, 0)]
 
 
@@ -444,7 +444,7 @@ def test_pipeline_stages(spark, sf_dir, tokenizer):
     assert ids(before) == ids(after)
     assert after.where(F.col("text").rlike(r"[A-Za-z0-9]@[a-z0-9]+\.")).count() == 0
     before, after = seen["mixing"]
-    taken = {r["doc_id"]: r["copies"] for r in mixing.mix(before).collect()}
+    taken = {r["doc_id"]: r["copies"] for r in mixing.mix(before, "doc_id").collect()}
     assert {r["doc_id"]: r["count"] for r in after.groupBy("doc_id").count().collect()} == {i: n for i, n in taken.items() if n}
     before, after = seen["packing"]
     n = sum(len(tokenizer.encode(r["text"], add_special_tokens=False).ids) + 1 for r in before.collect())
