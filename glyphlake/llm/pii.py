@@ -30,6 +30,8 @@ CONTEXT = r"([^\s:=#]{1,30}\s?[:=#]\s?[\"'(\[<]?)$"
 HEX_KEY = r"^(?=.*[0-9])(?=.*[a-fA-F])[0-9a-fA-F]{32,}$"
 #: Rounds of scoring; instances that must be believed, and their share, for a pattern to count.
 ROUNDS, SUPPORT, CONFIDENCE = 3, 3, 0.7
+#: Most believable contexts that become part of the plan; beyond, tokens are joined with the table of contexts.
+CONTEXTS = 1000
 
 _SPAN = "array<struct<s:int,e:int,v:string,left:string>>"
 
@@ -57,12 +59,10 @@ def _digits(m: Column) -> Column:
 
 def _luhn(m: Column) -> Column:
     """14 to 19 digits whose weighted sum ends in 0: from the right, every second digit doubled and its digits added."""
-    at = F.sequence(F.lit(0), F.length(_digits(m)) - 1)
     d = F.transform(F.split(F.reverse(_digits(m)), ""), lambda c: F.when(c == "", 0).otherwise(c.cast("int")))
     weighed = F.transform(d, lambda x, i: F.when(i % 2 == 0, x).when(x > 4, 2 * x - 9).otherwise(2 * x))
     total = F.aggregate(weighed, F.lit(0), lambda a, x: a + x)
-    del at
-    return F.length(_digits(m)).between(14, 19) & F.when(F.length(_digits(m)).between(14, 19), total % 10 == 0).otherwise(False)
+    return F.when(F.length(_digits(m)).between(14, 19), total % 10 == 0).otherwise(False)
 
 
 def _octets(m: Column) -> Column:
@@ -113,13 +113,19 @@ def identify(docs: DataFrame, *keep: str) -> DataFrame:
     overlaps. Null texts count as empty and have none; repeated rows are each searched; an empty table gives no rows.
     Columns besides text and keep are ignored.
     """
-    rows = staged(found(docs, *keep).withColumn("_row", F.monotonically_increasing_id()), "found")
-    good = staged(patterns(rows), "good")
-    tokens = rows.select("_row", F.explode("token").alias("x")).select("_row", "x.s", "x.e", F.lower(F.regexp_extract("x.left", CONTEXT, 1)).alias("left"))
-    extra = tokens.join(good, "left").groupBy("_row").agg(F.collect_list(F.struct("s", "e")).alias("_extra"))
-    # Written first, so that the planner knows its size and copies it to all tasks only where it is small.
-    extra = staged(extra, "extra")
-    out = rows.join(extra, "_row", "left")
+    good = staged(patterns(found(docs)), "good")
+    few = [r["left"] for r in good.limit(CONTEXTS + 1).collect()]
+    context = lambda x: F.lower(F.regexp_extract(x["left"], CONTEXT, 1))
+    place = lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))
+    if len(few) <= CONTEXTS:
+        believed = F.filter("token", lambda x: context(x).isin(few)) if few else F.slice("token", 1, 0)
+        out = found(docs, *keep).withColumn("_extra", F.transform(believed, place))
+    else:
+        rows = staged(found(docs, *keep).withColumn("_row", F.monotonically_increasing_id()), "found")
+        tokens = rows.select("_row", F.explode("token").alias("x")).select("_row", place(F.col("x")).alias("x"), context(F.col("x")).alias("left"))
+        # Written first, so that the planner knows its size and copies it to all tasks only where it is small.
+        extra = staged(tokens.join(good, "left").groupBy("_row").agg(F.collect_list("x").alias("_extra")), "extra")
+        out = rows.join(extra, "_row", "left")
 
     def named(array: str, kind: str) -> Column:
         return F.transform(array, lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), x["e"].alias("e")))
