@@ -86,13 +86,20 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "quality"
         return Model(np.zeros(BUCKETS, np.float32), prior)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        xs, ys = [], []
+        # Two growing arrays instead of many small ones: their memory goes back to the system afterwards.
+        ids, parts, bounds, ys = np.empty(1 << 20, np.int32), np.empty(1 << 20, np.float32), [0], []
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            xs += [sparse(data[offsets[i] : offsets[i + 1]]) for i in range(batch.num_rows)]
+            for i in range(batch.num_rows):
+                own, share = sparse(data[offsets[i] : offsets[i + 1]])
+                end = bounds[-1] + len(own)
+                if end > len(ids):
+                    ids, parts = (np.concatenate([x, np.empty(max(end, len(x)), x.dtype)]) for x in (ids, parts))
+                ids[bounds[-1] : end], parts[bounds[-1] : end] = own, share
+                bounds.append(end)
             ys += batch.column("y").to_pylist()
-        if xs:
-            weight, bias = train(xs, np.array(ys))
+        if ys:
+            weight, bias = train([(ids[a:b], parts[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], np.array(ys))
             yield pa.record_batch([pa.array([weight.astype("<f4").tobytes()]), pa.array([bias])], ["weight", "bias"])
 
     # The bounded sample meets in one task, in the order of ids, so that reruns agree; the driver gets the fitted numbers alone.
