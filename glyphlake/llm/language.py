@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import spans, uniform
+from glyphlake.llm.common import spans, staged, uniform
 
 #: log2 of the number of hash buckets, and the n-gram lengths in code points.
 BITS = 16
@@ -73,9 +73,9 @@ def fit(docs: DataFrame, train: Column, per_language: int = PER_LANGUAGE, seed:
     most, those whose hash of the id is below per_language / rows of that language. Languages weigh the same a priori.
     """
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("rows"))
+    # One row for each language, written so that the planner knows its size: texts move only if it is large.
+    sizes = staged(rows.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
     share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("rows"))
-    # One row for each language: languages bound the model's columns too. The planner broadcasts it only where it is small.
     picked = rows.join(sizes, "lang").where(uniform(F.lit(seed), F.col("doc_id")) < share)
     found = counts(picked).toArrow()
     langs = sorted(set(found.column("lang").to_pylist()))
