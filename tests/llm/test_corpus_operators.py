@@ -251,6 +251,16 @@ def test_extraction_edges(spark):
     assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string"), "page_id").count() == 0
 
 
+def test_pages_of_a_host_keep_their_own_article(spark):
+    """A page without an article beside pages with one, and copies of one page, which make no template."""
+    article = [(i, f"http://h/{i}", f"<body><p>Menu</p><article><p>Story {i}</p></article></body>") for i in range(3)]
+    plain = [(3, "http://h/3", "<body><p>Menu</p><div>An old layout</div></body>"), (4, None, "<article><p>one</p></article>"), (5, "no url", "<p>two</p>")]
+    copies = [(i, f"http://copies/{i}", f"<body id=n{i}><h1>Title</h1><p>The only text</p></body>") for i in range(6, 10)]
+    got = html.main_text(spark.createDataFrame(article + plain + copies, "page_id long, url string, html string"), "page_id").collect()
+    own = {i: f"Story {i}" for i in range(3)} | {3: "An old layout", 4: "one", 5: "two"} | {i: "Title\n\nThe only text" for i in range(6, 10)}
+    assert {r["page_id"]: r["text"] for r in got} == own
+
+
 def test_wrapper_is_union_free():
     one = html.wrapper_of(html.parse("<ul><li>a<li>b</ul><p>x"))
     two = html.wrapper_of(html.parse("<ul><li>a</ul><h2>h</h2><p>x"))
