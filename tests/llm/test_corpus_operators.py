@@ -261,6 +261,17 @@ def test_pages_of_a_host_keep_their_own_article(spark):
     assert {r["page_id"]: r["text"] for r in got} == own
 
 
+def test_template_text_goes_inside_articles(spark):
+    """Text that all different articles of a host share, and links; not in copies of one article, nor on a host of two pages."""
+    page = "<article><h2>Story {0}</h2><p>Long text {0}</p><div class=x>Thanks for reading</div><ul><li><a href=q>Other story {0}</a></li></ul></article>"
+    rows = [(i, f"http://h/{i}", page.format(i)) for i in range(4)] + [(i, f"http://copies/{i}", page.format(9)) for i in range(4, 8)] + [(i, f"http://two/{i}", page.format(i)) for i in (8, 9)]
+    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), "page_id").collect()
+    text = "Story {0}\n\nLong text {0}"
+    whole = text + "\n\nThanks for reading\n\nOther story {0}"
+    own = {i: text.format(i) for i in range(4)} | {i: whole.format(9) for i in range(4, 8)} | {i: whole.format(i) for i in (8, 9)}
+    assert {r["page_id"]: r["text"] for r in got} == own
+
+
 def test_wrapper_is_union_free():
     one = html.wrapper_of(html.parse("<ul><li>a<li>b</ul><p>x"))
     two = html.wrapper_of(html.parse("<ul><li>a</ul><h2>h</h2><p>x"))
