@@ -61,24 +61,25 @@ def levels(data: np.ndarray) -> np.ndarray:
     return ((full - total) * LEVELS // full).astype(np.int16)
 
 
+def _inside(offsets: np.ndarray, size: int) -> np.ndarray:
+    """Which of size window starts have their whole window in one text."""
+    valid = np.zeros(size + 1, np.int32)
+    lens = np.maximum(np.diff(offsets) - WINDOW + 1, 0)
+    has = lens > 0
+    np.add.at(valid, offsets[:-1][has], 1)
+    np.add.at(valid, (offsets[:-1] + lens)[has], -1)
+    return np.cumsum(valid[:-1]) > 0
+
+
 def precedence(docs: DataFrame) -> np.ndarray:
-    """Rank of each entropy level, 0 the rarest: from the windows at every 64th byte of all texts, summed by level."""
+    """Rank of each entropy level, 0 the rarest: from the windows at every byte of all texts, summed by level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(LEVELS + 1, np.int64)
         for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            count = np.diff(offsets) // WINDOW
-            starts = np.repeat(offsets[:-1], count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * WINDOW
-            for a in range(0, len(starts), 1 << 14):
-                rows = np.sort(data[starts[a : a + (1 << 14), None] + np.arange(WINDOW)], axis=1)
-                new = np.ones((len(rows), WINDOW + 1), bool)
-                new[:, 1:-1] = rows[:, 1:] != rows[:, :-1]
-                at = np.flatnonzero(new)
-                runs = np.minimum(np.diff(at, append=at[-1:] + 1), WINDOW)
-                runs[at % (WINDOW + 1) == WINDOW] = 0  # the column that closes a row
-                sums = np.bincount(at // (WINDOW + 1), _NLOGN[runs], len(rows)).astype(np.int64)
-                total += np.bincount((_NLOGN[WINDOW] - sums) * LEVELS // _NLOGN[WINDOW], minlength=LEVELS + 1)
+            for _, _, data, offsets in text_blocks(batch):
+                found = levels(data)
+                total += np.bincount(found[_inside(offsets, len(found))], minlength=LEVELS + 1)
         yield pa.record_batch([pa.array(np.arange(LEVELS + 1)), pa.array(total)], ["level", "n"])
 
     found = docs.select("text").mapInArrow(run, "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).collect()
@@ -99,12 +100,8 @@ def selected(data: np.ndarray, offsets: np.ndarray, rank: np.ndarray) -> tuple[n
     size = max(0, len(data) - WINDOW + 1)
     last = np.iinfo(np.int64).max
     key = (rank[levels(data)].astype(np.int64) << 32) | np.arange(size)
-    valid = np.zeros(size + 1, np.int32)
-    lens = np.maximum(np.diff(offsets) - WINDOW + 1, 0)
-    has = lens > 0
-    np.add.at(valid, offsets[:-1][has], 1)
-    np.add.at(valid, (offsets[:-1] + lens)[has], -1)
-    inside = np.cumsum(valid[:-1]) > 0
+    has = np.diff(offsets) >= WINDOW
+    inside = _inside(offsets, size)
     key[~inside] = last
     # Windows of other texts are at least WINDOW - 1 invalid starts away, so that RIVALS consecutive starts meet one text's alone.
     best, span = key, 1

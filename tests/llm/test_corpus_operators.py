@@ -158,6 +158,19 @@ def test_precedence_counts_all_windows(spark):
     assert seen[rank == fingerprints.LEVELS] == seen.max()
 
 
+def test_precedence_counts_windows_at_every_byte(spark):
+    """Windows off the multiples of 64, and those that end a text, count; none runs over two texts."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abcdefghijkl é"), n)) for n in (63, 64, 100, 700)] + ["a" * 63 + "b", None, ""]
+    seen = np.zeros(fingerprints.LEVELS + 1, int)
+    for t in texts:
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        for i in range(len(data) - fingerprints.WINDOW + 1):
+            seen[fingerprints.levels(data[i : i + fingerprints.WINDOW])[0]] += 1
+    rank = fingerprints.precedence(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert rank[np.lexsort((np.arange(len(seen)), seen))].tolist() == list(range(len(seen)))
+
+
 def check_fingerprints(rows, docs):
     """docs: (doc_id, text) in descending order of id."""
     by = defaultdict(list)
