@@ -27,14 +27,21 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: of each group the document of the least id stays; of rows of one id and text, one."""
-    groups = staged(neardup.group(docs, 85), "groups")
-    dropped = staged(groups.where(~F.col("kept")).select("doc_id").distinct(), "dropped")
-    left = docs.join(dropped, "doc_id", "left_anti")
+    """Operator 6: of each group one row stays, of the least id and there of the least hash of the text; rows of one id may
+    have different texts, and each goes or stays by its own. Of rows
+    without words, one of each id and text stays; rows of a null id all do."""
+    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    key = ["doc_id", "_text_hash"]
+    groups = staged(neardup.rows_of_groups(keyed, 85, "_text_hash"), "groups")
+    dropped = staged(groups.where(~F.col("kept")).select(*key).distinct(), "dropped")
+    left = keyed.join(dropped, key, "left_anti")
     repeated = staged(groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
         return left.select(*docs.columns)
-    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    first = groups.where("kept and comp is not null").join(repeated, "doc_id", "left_semi").select(*key, "comp").distinct()
+    least = first.groupBy("doc_id", "comp").agg(F.min("_text_hash").alias("_least"))
+    later = staged(first.join(least, ["doc_id", "comp"]).where("_text_hash != _least").select(*key), "later")
+    once = left.join(repeated, "doc_id", "left_semi").join(later, key, "left_anti").dropDuplicates(["doc_id", "text"])
     return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
 
 

@@ -120,12 +120,12 @@ def _key(unique: np.ndarray) -> bytes:
     return hashlib.blake2b(unique.tobytes(), digest_size=16).digest()
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, c, bands, s0..): set size, 128-bit key of the set, band hashes and bitmap of every document."""
+def signatures(docs: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, keep..., n, c, bands, s0..): set size, 128-bit key of the set, band hashes and bitmap of every document."""
+    own = ["doc_id", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
             for i, j, data, offsets in text_blocks(batch, most=1 << 19):
                 sets = shingles(data, offsets)
                 sizes = np.array([len(s) for s in sets])
@@ -133,11 +133,12 @@ def signatures(docs: DataFrame) -> DataFrame:
                 bands, bits = band_hashes(super_minhash(joined, owner, j - i)), bitmaps(joined, owner, j - i)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * bands.shape[1]), pa.array(bands.reshape(-1)))
                 yield pa.record_batch(
-                    [ids.slice(i, j - i), pa.array(sizes.astype(np.int64)), pa.array([_key(s) for s in sets], pa.binary()), lists, *[pa.array(bits[:, k].copy()) for k in range(MARKS)]],
-                    ["doc_id", "n", "c", "bands", *_MARK_NAMES],
+                    [*[batch.column(x).slice(i, j - i) for x in own], pa.array(sizes.astype(np.int64)), pa.array([_key(s) for s in sets], pa.binary()), lists, *[pa.array(bits[:, k].copy()) for k in range(MARKS)]],
+                    [*own, "n", "c", "bands", *_MARK_NAMES],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, c binary, bands array<long>, " + ", ".join(f"{m} long" for m in _MARK_NAMES))
+    kept = "".join(f"`{x}` {docs.schema[x].dataType.simpleString()}, " for x in keep)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text").mapInArrow(run, f"doc_id long, {kept}n long, c binary, bands array<long>, " + ", ".join(f"{m} long" for m in _MARK_NAMES))
 
 
 def _near(a: str, b: str, percent: int) -> Column:
@@ -203,8 +204,14 @@ def group(docs: DataFrame, percent: int = 85) -> DataFrame:
     may have different texts; each row gets the component of its own text. Rows of a null id take no part: their
     component is null and they are kept. An empty table gives no rows; other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = staged(signatures(docs), "signatures")
+    return rows_of_groups(docs, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def rows_of_groups(docs: DataFrame, percent: int, *keep: str) -> DataFrame:
+    """The columns of ``group``, keep, and comp: a key of the row's component (null: takes no part), as components of rows
+    that share an id may have one component_id."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text")
+    rows = staged(signatures(docs, *keep), "signatures")
     linked = rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = staged(
         linked.groupBy("c").agg(F.min(F.struct("doc_id", "n", "bands", *_MARK_NAMES)).alias("x")).select("c", "x.*"),
@@ -216,11 +223,11 @@ def group(docs: DataFrame, percent: int = 85) -> DataFrame:
     labels = _linked(docs, classes, members, percent)
     owner = classes.select("c", "doc_id").join(labels, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     least = owner.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    found = staged(owner.join(least, "comp").select("c", "component_id"), "found")
+    found = staged(owner.join(least, "comp").select("c", "comp", "component_id"), "found")
     unstage(classes, members, labels)
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("c")).alias("c")).join(found, "c", "left")
+    out = rows.select("doc_id", *keep, F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("c")).alias("c")).join(found, "c", "left")
     own = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", *keep, "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"), "comp")
 
 
 def _linked(docs: DataFrame, classes: DataFrame, members: DataFrame, percent: int) -> DataFrame:

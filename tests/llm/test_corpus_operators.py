@@ -485,6 +485,16 @@ def test_pipeline_stages(spark, sf_dir, tokenizer):
     assert after.agg(F.sum("length")).first()[0] == n
 
 
+def test_near_duplicates_go_by_row(spark, sf_dir):
+    """Rows of one id are judged by their own texts, and of a group one row stays."""
+    near = [" ".join([f"w{k}" for k in range(100)] + [f"e{n}"]) for n in range(2)]
+    rows = [(0, "the first text of some words"), (1, "the first text of some words"), (1, "a text that no other row has"), (2, near[0]), (2, near[1]), (3, near[0]), (4, "one apart from all the others"), (4, "unlike the one before it here"), (5, "twice the very same text here"), (5, "twice the very same text here"), (6, None), (6, None), (None, near[0])]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect()
+    left = [(r["doc_id"], r["text"]) for r in got]
+    assert len([x for x in left if x[0] == 2]) == 1 and [x for x in left if x[0] == 2][0] in rows
+    assert sorted((x for x in left if x[0] != 2), key=str) == sorted([rows[0], rows[2], rows[6], rows[7], rows[8], rows[10], rows[12]], key=str)
+
+
 def test_pipeline_of_odd_rows(spark, sf_dir, odd):
     docs = odd
     for name in ("score", "email", "spans", "base", "copies", "size", "target", "kept", "n", "c", "rank", "cell", "length", "piece", "token", "y", "key", "host"):
