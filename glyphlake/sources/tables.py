@@ -13,12 +13,33 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(setting: str | None, master: str, application: str) -> str:
+    """The folder of staged tables: ``spark.checkpoint.dir``, which only a local master may leave unset."""
+    if setting:
+        return setting.rstrip("/")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{tempfile.gettempdir()}/glyphlake-{application}"
+
+
+def _files(df: DataFrame, path: str):
+    context = df.sparkSession.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(context._jsc.hadoopConfiguration())
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder of ``spark.checkpoint.dir`` and read back: cuts lineage and survives lost executors."""
+    """df written to the shared folder of ``spark.checkpoint.dir`` and read back: cuts lineage and survives lost executors.
+
+    The table is deleted when the application ends, or before by ``unstage``.
+    """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/glyphlake-{spark.sparkContext.applicationId}"
-    path = f"{base.rstrip('/')}/glyphlake/{uuid.uuid4().hex}/{name}"
+    context = spark.sparkContext
+    base = shared_folder(spark.conf.get("spark.checkpoint.dir", None), context.master, context.applicationId)
+    path = f"{base}/glyphlake/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
+    target, files = _files(df, path)
+    files.deleteOnExit(target.getParent())
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
@@ -27,8 +48,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def unstage(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for df in tables:
-        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        target, files = _files(df, df.staged_at)
+        files.delete(target.getParent(), True)
 
 
 def descriptors(df: DataFrame, vec: str = "embedding", key: str = "vec_id", per_image: int = 5) -> DataFrame:

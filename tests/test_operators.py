@@ -415,3 +415,21 @@ def test_stream_appends_postings(spark, tmp_path):
     ingest.maintain(stream, weights, f"{tmp_path}/log", f"{tmp_path}/check").awaitTermination(120)
     got = spark.read.parquet(f"{tmp_path}/log")
     assert sorted((r["image_id"], r["word_id"], round(r["weight"], 4)) for r in got.collect()) == [(1, 5, 1.0), (2, 5, 0.3333), (2, 6, 0.6667)]
+
+
+def test_only_local_masters_stage_without_a_shared_folder():
+    assert tables.shared_folder("hdfs://x/y/", "yarn", "a") == "hdfs://x/y"
+    assert tables.shared_folder(None, "local[4]", "app").endswith("glyphlake-app")
+    for master in ("yarn", "spark://host:7077", "k8s://host", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            tables.shared_folder(None, master, "app")
+
+
+def test_staged_tables_go(spark):
+    import os
+
+    df = tables.staged(spark.range(3), "three")
+    folder = os.path.dirname(df.staged_at.removeprefix("file://"))
+    assert df.count() == 3 and os.path.isdir(folder)
+    tables.unstage(df)
+    assert not os.path.exists(folder)
