@@ -30,16 +30,19 @@ SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN part >
 
 _FLAGS = ", ".join(f"CAST({rule} AS INTEGER) AS soft_{name}" for name, rule in SOFT.items())
 _SUMS = ", ".join(f"sum(soft_{name}) AS k_{name}" for name in SOFT)
-_PRIORS = ", ".join(f"avg(n) AS m_{x}, sum(k_{x}) / nullif(sum(n), 0) AS mean_{x}, coalesce(var_samp(k_{x} / n), 0) AS var_{x}" for x in SOFT)
+_TOTALS = ", ".join(f"sum(k_{x}) / sum(n) AS mean_{x}, sum(k_{x} * k_{x} / n) - sum(n) * (sum(k_{x}) / sum(n)) ** 2 AS s_{x}" for x in SOFT)
+_MOMENTS = ", ".join(f"mean_{x}, CASE WHEN m > 0 THEN s_{x} / ((h - 1) * m) ELSE 0 END AS var_{x}" for x in SOFT)
 
 
 def _strength(x: str) -> str:
-    most, noise = f"mean_{x} * (1 - mean_{x})", f"mean_{x} * (1 - mean_{x}) / m_{x}"
-    return f"CASE WHEN var_{x} <= {noise} OR m_{x} <= 1 THEN 1e6 ELSE greatest(2.0, ({most} - {noise}) / (var_{x} - {noise}) - 1) END"
+    most, noise = f"mean_{x} * (1 - mean_{x})", f"mean_{x} * (1 - mean_{x}) / (CASE WHEN m > 0 THEN m ELSE 1 END)"
+    return f"CASE WHEN var_{x} <= {noise} OR m <= 1 THEN 1e6 ELSE greatest(2.0, ({most} - {noise}) / (var_{x} - {noise}) - 1) END"
 
 
-_RATES = ", ".join(f"(k_{x} + mean_{x} * ({_strength(x)})) / (n + ({_strength(x)})) AS rate_{x}" for x in SOFT)
-_BAD = " OR ".join(f"(soft_{x} = 1 AND rate_{x} > 0.6 AND n >= 20)" for x in SOFT)
+_STRENGTHS = ", ".join(f"{_strength(x)} AS strength_{x}" for x in SOFT)
+_RATES = ", ".join(f"(k_{x} + mean_{x} * strength_{x}) / (n + strength_{x}) AS rate_{x}" for x in SOFT)
+_LOWS = ", ".join(f"rate_{x} - 2 * sqrt(rate_{x} * (1 - rate_{x}) / (n + strength_{x} + 1)) AS low_{x}" for x in SOFT)
+_BAD = " OR ".join(f"(soft_{x} = 1 AND (low_{x} * (1 - mean_{x}) > 3 * mean_{x} * (1 - low_{x}) OR low_{x} > 0.6))" for x in SOFT)
 
 QUALITY_RULES = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('s' || source, 'n') AS host, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, regexp_extract_all(text, '{_WORD}') AS ws FROM d),
@@ -53,8 +56,11 @@ m AS (SELECT doc_id, host, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array
   coalesce(n_lines, 0) AS n_lines, coalesce(dup, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words FROM d JOIN w USING (rid) LEFT JOIN lc USING (rid) LEFT JOIN cov USING (rid)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {_FLAGS} FROM m),
 h AS (SELECT host, count(*) * 1.0::DOUBLE AS n, {_SUMS} FROM f GROUP BY host),
-pr AS (SELECT {_PRIORS} FROM h),
-v AS (SELECT host, n, {_RATES} FROM h, pr)
+tot AS (SELECT count(*) AS h, CASE WHEN count(*) > 1 THEN (sum(n) - sum(n * n) / sum(n)) / (count(*) - 1) ELSE 0 END AS m, {_TOTALS} FROM h),
+mo AS (SELECT h, m, {_MOMENTS} FROM tot),
+pr AS (SELECT *, {_STRENGTHS} FROM mo),
+r AS (SELECT h.*, pr.* EXCLUDE (h), {_RATES} FROM h, pr),
+v AS (SELECT *, {_LOWS} FROM r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({_BAD}) AS kept FROM f JOIN v USING (host)"""
 
 ORACLES = {"op6_near_dedup": NEAR_DEDUP, "op8_mixing": MIXING, "op10_quality_rules": QUALITY_RULES}

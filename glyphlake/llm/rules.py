@@ -2,7 +2,9 @@
 
 DataFrame functions only. Each document is measured once; its soft failures are summed by host, each host's failure rate
 is shrunk towards the corpus with a beta prior fitted by moments over all hosts, and the verdict on the host goes back to
-its documents: a document is dropped for a soft failure only where its host fails that rule as a habit.
+its documents: a document is dropped for a soft failure only where its host fails that rule as a habit. A habit is judged by the
+lower end of the host's shrunk rate, against the rate of the whole corpus or against a fixed share, so a host of few
+documents is held to the corpus by the prior alone, and there is no least number of documents.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import staged, words
+from glyphlake.llm.common import staged, unstage, words
 
 #: Soft rules: a name and a condition on the measures. One alone drops nothing.
 SOFT = {
@@ -92,32 +94,54 @@ def beta_prior(m: float | None, mean: float | None, var: float | None) -> tuple[
     return mean, max(2.0, (most - noise) / (var - noise) - 1)
 
 
-def judged(docs: DataFrame, min_words: int = 50, rate: float = 0.6, floor: int = 20) -> DataFrame:
-    """Measures, base_failed, each soft failure, the host's shrunk rates and kept, a row per document.
+def moments(hosts: DataFrame, names: list[str]) -> dict[str, tuple[float, float, float]]:
+    """For each rule m, mean and variance for ``beta_prior``, from hosts (n, k_rule...) of any sizes.
+
+    Hosts weigh by their documents: S = sum n (k / n - mean)**2 has mean * (1 - mean) * (H - 1) * (1 + (m - 1) / (strength + 1))
+    as its expected value, where m = (N - sum n**2 / N) / (H - 1) stands for the documents of a host and N for all documents.
+    One row reaches the driver.
+    """
+    total = hosts.agg(F.count("*").alias("h"), F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("nn"), *[F.sum(f"k_{x}").alias(f"k_{x}") for x in names], *[F.sum(F.expr(f"double(k_{x}) * k_{x} / n")).alias(f"kk_{x}") for x in names]).collect()[0]
+    out = {}
+    for x in names:
+        n, h = total["n"] or 0, total["h"]
+        mean = total[f"k_{x}"] / n if n else 0.0
+        m = (n - total["nn"] / n) / (h - 1) if h > 1 else 0.0
+        # S in its short form: sum k**2 / n - N * mean**2.
+        out[x] = (m, mean, (total[f"kk_{x}"] - n * mean * mean) / ((h - 1) * m) if m > 0 else 0.0)
+    return out
+
+
+def judged(docs: DataFrame, min_words: int = 50, rate: float = 0.6, lift: float = 3.0, deviations: float = 2.0) -> DataFrame:
+    """Measures, base_failed, each soft failure, the host's shrunk rates and verdicts and kept, a row per document.
 
     base_failed: fewer than min_words words, or more than half of them in repeated windows. A document that passes is
-    dropped where it fails a soft rule that its host's documents fail at a shrunk rate above ``rate``, over at least
-    ``floor`` documents. The host is ``source``; documents with a null source form a host of their own. Repeated rows are
-    counted and returned as often as they occur; an empty table gives none.
+    dropped where it fails a soft rule that its host fails as a habit (``bad_<rule>``): the host's shrunk rate, less
+    ``deviations`` standard deviations of it, has odds above ``lift`` times those of the whole corpus, or lies above
+    ``rate``. The host is ``source``; documents with a null source form a host of their own, and a host of one document is judged
+    like any other, its rate being nearly the prior's. Null and empty texts have no words and fail. Texts are measured whole,
+    whatever their length; repeated rows are counted and returned as often as they occur; an empty table gives none; columns
+    besides doc_id, text and source are ignored.
     """
     soft = [F.expr(rule).cast("int").alias(f"soft_{name}") for name, rule in SOFT.items()]
     measured = measures(docs).withColumn("host", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     measured = staged(measured.select("*", failed.alias("base_failed"), *soft), "measures")
     names = list(SOFT)
-    hosts = measured.groupBy("host").agg(F.count("*").alias("n"), *[F.sum(f"soft_{x}").alias(f"k_{x}") for x in names])
-    # Moments of the hosts' rates, one row whatever the number of hosts: each rule's prior mean and strength.
-    moments = hosts.agg(
-        F.avg("n").alias("m"),
-        *[F.expr(f"sum(k_{x}) / nullif(sum(n), 0)").alias(f"mean_{x}") for x in names],
-        *[F.expr(f"var_samp(k_{x} / n)").alias(f"var_{x}") for x in names],
-    ).collect()[0]
-    shrunk = []
-    for x in names:
-        mean, strength = beta_prior(moments["m"], moments[f"mean_{x}"], moments[f"var_{x}"])
-        shrunk.append(((F.col(f"k_{x}") + mean * strength) / (F.col("n") + strength)).alias(f"rate_{x}"))
-    verdicts = staged(hosts.select("host", F.col("n").alias("host_docs"), *shrunk), "hosts")
+    hosts = staged(measured.groupBy("host").agg(F.count("*").alias("n"), *[F.sum(f"soft_{x}").alias(f"k_{x}") for x in names]), "hosts")
+    verdicts = hosts
+    for x, (m, mean, var) in moments(hosts, names).items():
+        mean, strength = beta_prior(m, mean, var)
+        shrunk = (F.col(f"k_{x}") + mean * strength) / (F.col("n") + strength)
+        verdicts = verdicts.withColumn(f"rate_{x}", shrunk)
+        low = F.col(f"rate_{x}") - deviations * F.sqrt(F.col(f"rate_{x}") * (1 - F.col(f"rate_{x}")) / (F.col("n") + strength + 1))
+        verdicts = verdicts.withColumn(f"low_{x}", low)
+        over = F.col(f"low_{x}") * (1 - mean) > lift * mean * (1 - F.col(f"low_{x}"))
+        verdicts = verdicts.withColumn(f"bad_{x}", over | (F.col(f"low_{x}") > rate))
+    # Written, so that the planner knows the size of one row per host; a hot host is then no key of a shuffle.
+    verdicts = staged(verdicts.select("host", F.col("n").alias("host_docs"), *[c for x in names for c in (f"rate_{x}", f"bad_{x}")]), "verdicts")
+    unstage(hosts)
     bad = F.lit(False)
     for x in names:
-        bad = bad | ((F.col(f"soft_{x}") == 1) & (F.col(f"rate_{x}") > rate) & (F.col("host_docs") >= floor))
+        bad = bad | ((F.col(f"soft_{x}") == 1) & F.col(f"bad_{x}"))
     return measured.join(verdicts, "host").withColumn("kept", ~F.col("base_failed") & ~bad)

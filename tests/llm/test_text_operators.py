@@ -249,6 +249,54 @@ def test_hosts_fail_by_habit(spark):
     assert got[200]["kept"] and got[201]["kept"]
 
 
+def brute_verdicts(counts, rate=0.6, lift=3.0, deviations=2.0):
+    """Bad hosts of one rule from {host: (documents, failures)}, number by number."""
+    total, failures = sum(n for n, _ in counts.values()), sum(k for _, k in counts.values())
+    mean, hosts, strength = failures / total, len(counts), 1e6
+    if hosts > 1:
+        m = (total - sum(n * n for n, _ in counts.values()) / total) / (hosts - 1)
+        spread = sum(n * (k / n - mean) ** 2 for n, k in counts.values()) / (hosts - 1) / m
+        noise = mean * (1 - mean) / m
+        if m > 1 and spread > noise:
+            strength = max(2.0, (mean * (1 - mean) - noise) / (spread - noise) - 1)
+    bad = set()
+    for host, (n, k) in counts.items():
+        shrunk = (k + mean * strength) / (n + strength)
+        low = shrunk - deviations * (shrunk * (1 - shrunk) / (n + strength + 1)) ** 0.5
+        if low * (1 - mean) > lift * mean * (1 - low) or low > rate:
+            bad.add(host)
+    return bad
+
+
+def test_hosts_decide_documents(spark, monkeypatch):
+    """Among 40 hosts whose rates differ, documents of one text stay or go by their host; without the verdicts all would stay."""
+    rng = np.random.default_rng(3)
+    good, noisy = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}###" for i in range(60))
+    rows, counts = [], {}
+    for h in range(40):
+        n = int(rng.integers(3, 60)) if h else 400
+        p = 0.9 if h % 10 == 3 else 0.04
+        failed = rng.random(n) < p
+        counts[f"h{h}"] = (n, int(failed.sum()))
+        rows += [(len(rows) + k, noisy if x else good, f"h{h}") for k, x in enumerate(failed)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    bad = brute_verdicts(counts)
+    assert 3 <= len(bad) < 40 and "h0" not in bad
+    got = by_id(rules.judged(docs))
+    assert all(got[i]["kept"] == (text == good or host not in bad) for i, text, host in rows)
+    assert sum(not r["kept"] for r in got.values()) == sum(k for h, (_, k) in counts.items() if h in bad) > 50
+    # Switched off, the method's verdict drops nothing.
+    assert all(r["kept"] for r in rules.judged(docs, rate=2.0, lift=1e9).collect())
+
+
+def test_one_document_follows_the_prior(spark):
+    """A host of one failing document is not judged by it alone."""
+    good, noisy = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}###" for i in range(60))
+    rows = [(i, good, f"g{i % 20}") for i in range(200)] + [(300 + i, noisy, "bad") for i in range(30)] + [(400, noisy, "single")]
+    got = by_id(rules.judged(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    assert got[400]["kept"] and not got[300]["kept"]
+
+
 def test_beta_prior():
     assert rules.beta_prior(10, 0.2, 0.2 * 0.8 / 10) == (0.2, 1e6)
     mean, strength = rules.beta_prior(10, 0.2, 0.2 * 0.8 * (1 + 9 / 5) / 10)
