@@ -458,6 +458,28 @@ def test_mix_edges(spark, odd):
     assert [(r["target"], r["taken"]) for r in empty] == [(0.0, 0), (0.0, 0)]
 
 
+@pytest.mark.parametrize("ids", ["null", "one", "equal"])
+def test_mix_of_repeated_ids(spark, ids):
+    """Sources of null ids, of one id, and of rows equal in all: each comes within a document of its target."""
+    text = lambda i: "a b c d e f g h i j" if ids == "equal" else " ".join(f"w{i}x{k}" for k in range(10))
+    rows = [(None if ids == "null" else 7, text(i), s) for s in "abcd" for i in range(100)] + [(1000 + i, text(i), "e") for i in range(100)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("mark", F.monotonically_increasing_id()), "source", "mark").collect()
+    goals = brute_targets({s: 1000 for s in "abcde"})
+    assert len({r["mark"] for r in got}) == len(got) == 500
+    for s in "abcde":
+        own = [r for r in got if r["source"] == s]
+        assert len(own) == 100 and all(r["target"] == pytest.approx(goals[s]) for r in own)
+        assert abs(sum(r["taken"] for r in own) - goals[s]) <= 10
+        assert max(r["copies"] for r in own) - min(r["copies"] for r in own) <= 1
+
+
+def test_targets_of_many_sources(spark):
+    rng = np.random.default_rng(0)
+    sizes = {f"s{k}": int(x) for k, x in enumerate(rng.pareto(0.5, 300) * 10)}
+    got = mixing.targets(spark.createDataFrame([(k, n) for k, n in sizes.items()], "key string, source_size long"), 1.5, 2.0).collect()
+    assert {r["key"]: r["target"] for r in got} == pytest.approx(brute_targets(sizes))
+
+
 # Pipeline
 
 
