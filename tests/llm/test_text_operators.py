@@ -363,6 +363,117 @@ def test_contexts_are_learned_from_seeds(spark):
     assert len(got[0]["spans"]) == 1
 
 
+def words_of(i):
+    return f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}"
+
+
+def contexts_table(spark):
+    """Emails and phones after \"contact\", keys after \"secret =\"; ids that no fixed pattern knows beside these words and others."""
+    key = "0123456789abcdef0123456789abcde"
+    rows = [f"{words_of(i)} contact u{i}@b.de {words_of(i + 9)} and more" for i in range(12)]
+    rows += [f"{words_of(i)} the +1 (555) 555-12{i:02d} {words_of(i + 5)}" for i in range(6)] + ["the the the end of the day"] * 20
+    rows += [f'some words secret = "{key}{i}" {words_of(i)}' for i in range(5)]
+    rows += [f'more secret = "zz-9{i}-top" here' for i in range(2)] + [f"a password: zz-9{i}-top there" for i in range(2)] + [f"a password: {key}{i} there" for i in range(2)]
+    unseen = {"contact jd-4411 please": "jd-4411", "the jd-4412 please": None, 'secret = "qq-77-low" x': "qq-77-low", "password: rr-66-mid x": "rr-66-mid", "page: rr-65-mid x": None}
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*rows, *unseen])], "doc_id long, text string")
+    return docs, {len(rows) + i: (t, v) for i, (t, v) in enumerate(unseen.items())}
+
+
+@pytest.mark.parametrize("most", [1000, 0])
+def test_contexts_discover_unseen_identifiers(spark, monkeypatch, most):
+    """Words beside seeds become patterns where most of their occurrences are beside seeds; what they find makes further patterns
+    (password: by the values that secret = found). The second case joins tokens with the table of contexts."""
+    monkeypatch.setattr(pii, "CONTEXTS", most)
+    docs, unseen = contexts_table(spark)
+    got = by_id(pii.identify(docs, "doc_id", "text"))
+    for i, (text, value) in unseen.items():
+        assert [text[x["s"] : x["e"]] for x in got[i]["spans"]] == ([value] if value else []), text
+        assert not got[i]["base"]
+
+
+def test_nothing_is_discovered_without_the_graph(spark, monkeypatch):
+    """Switched off (no pattern is believable), the fixed patterns alone find none of the identifiers above."""
+    monkeypatch.setattr(pii, "CONFIDENCE", 2.0)
+    docs, unseen = contexts_table(spark)
+    got = by_id(pii.identify(docs, "doc_id"))
+    assert all(not got[i]["spans"] for i in unseen)
+
+
+def brute_conf(docs):
+    """One round of scores by hand: {context: (confidence, support)} of separators and words, from seeds alone."""
+    edges, total = Counter(), Counter()
+    for text in docs:
+        base = [(s, e) for s, _, e in brute_spans(text)]
+        own = [(s, e, True) for s, e in base]
+        for m in re.finditer(r"[A-Za-z0-9_-]{6,}", text):
+            if re.search("[0-9]", m[0]) and not any(s < m.end() and m.start() < e for s, e in base):
+                own.append((*m.span(), bool(re.match(r"(?=.*[0-9])(?=.*[a-fA-F])[0-9a-fA-F]{32,}$", m[0]))))
+        for s, e, seed in own:
+            left, right = text[:s], text[e:]
+            for mark, side, pattern in (("=", left, pii.CONTEXT), ("<", left, pii.WORD_BEFORE), (">", right, pii.WORD_AFTER)):
+                if m := re.search(pattern, side):
+                    edges[mark + m[1].lower(), text[s:e], seed] += 1
+        total.update(text.lower().split())
+    out = {}
+    for key in {k for k, _, _ in edges}:
+        own = {(v, seed): n for (k, v, seed), n in edges.items() if k == key}
+        if len(own) >= pii.SUPPORT:
+            whole = max(sum(own.values()), 0 if key[0] == "=" else total[key[1:]])
+            out[key] = (sum(n for (_, seed), n in own.items() if seed) / (whole + 0.5), sum(seed for _, seed in own))
+    return out
+
+
+def test_scores_by_hand(spark, monkeypatch):
+    monkeypatch.setattr(pii, "ROUNDS", 1)
+    monkeypatch.setattr(pii, "CONFIDENCE", 0.0)
+    docs, _ = contexts_table(spark)
+    got = {r["key"]: r["conf"] for r in pii.patterns(docs).collect()}
+    expected = {k: c for k, (c, n) in brute_conf([r["text"] for r in docs.collect()]).items() if n >= pii.SUPPORT}
+    assert got == pytest.approx(expected) and "<contact" in got and '=secret = "' in got
+
+
+def test_blocks_change_nothing(spark):
+    """Texts of many blocks, with and without places where blocks may end."""
+    rng = np.random.default_rng(6)
+    bits = ["a@b.de ", "10.0.0.1 ", "4111 1111 1111 1111 ", "+1 (555) 555-1234 ", "word ", "é😀 ", "12 ", "x1y2z3w4 ", "\n", "1-", "@", ". "]
+    texts = ["".join(rng.choice(bits, 1500)) for _ in range(3)] + ["10.0.0.1 " * 700, "1 " * 4000, "a1" * 5000, ("x" * 1499 + " a@b.de ") * 3, "z" * 4000 + "@b.de", "\n" * 4000]
+    for r in pii.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id").collect():
+        assert [tuple(x) for x in r["base"]] == brute_spans(texts[r["doc_id"]])
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    import time
+
+    def seconds(n):
+        text = " ".join(f"key = ab{i:06d}x9 to u{i}@b.de" for i in range(n))
+        start = time.monotonic()
+        found = pii.found(spark.createDataFrame([(text,)], "text string"), "text").select(F.size("token"), pii.redacted(F.col("text"), F.transform("email", lambda x: F.struct(x["s"].alias("s"), F.lit(0).alias("k"), x["e"].alias("e"))))).first()
+        assert found[0] == n and found[1] == re.sub("u[0-9]+@b.de", "<EMAIL>", text)
+        return time.monotonic() - start
+
+    seconds(100)
+    few, many = seconds(10_000), seconds(80_000)
+    assert many < 10 * few + 5
+
+
+def test_redaction_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(pii, "BLOCK", 7)
+    rng = np.random.default_rng(1)
+    rows = []
+    for _ in range(60):
+        text = "".join(rng.choice(list("ab é😀\n"), rng.integers(0, 60)))
+        spans = sorted({(s := int(rng.integers(0, len(text))), int(rng.integers(0, 5)), int(rng.integers(s + 1, len(text) + 1))) for _ in range(rng.integers(0, 6)) if text})
+        rows.append((text, spans))
+    df = spark.createDataFrame(rows, "text string, spans array<struct<s:int,k:int,e:int>>").select(pii.redacted(F.col("text"), F.col("spans")))
+    for (text, spans), r in zip(rows, df.collect(), strict=True):
+        out, at = "", 0
+        for s, k, e in spans:
+            if s >= at:
+                out += text[at:s] + f"<{pii.KINDS[k].upper()}>"
+            at = max(at, e)
+        assert r[0] == out + text[at:]
+
+
 def test_pii_edges(spark, odd):
     got = pii.identify(odd, "doc_id", "extra").collect()
     assert len(got) == len(ODD)
