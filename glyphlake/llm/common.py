@@ -41,9 +41,10 @@ def uniform(*parts: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class: int, seed: str) -> DataFrame:
-    """(doc_id, text, y) of at most about per_class rows of each class.
+    """(doc_id, text, y) of at most about per_class ids of each class, a row for each: of rows that share an id, the one whose
+    text has the least hash.
 
-    Rows qualify where ``keep`` holds for doc_id and the label is 0 or 1; rows of a class are taken by a hash of their id
+    Ids qualify where ``keep`` holds for doc_id and the label is 0 or 1; those of a class are taken by a hash of the id
     below per_class / class size, so the sample is bounded, repeatable and needs no ordering of the corpus. Ids that occur
     with several labels count as 1 if any row says so.
     """
@@ -59,7 +60,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
         limit = F.when(F.col("y") == y, F.lit(min(1.0, per_class / n))).otherwise(limit)
     picked = own.where(uniform(F.lit(seed), F.col("doc_id")) < limit)
     # At most about 2 * per_class ids of 12 bytes each: bounded by the parameter, whatever the corpus holds.
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where(F.col("text").isNotNull())
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where(F.col("text").isNotNull())
+    # One text for an id in each task, before any moves: an id on very many rows sends no more than others.
+    return rows.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "y")
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -119,27 +122,40 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+# Two prime moduli below 2**31, each with a base of its own; products of two residues fit into 64 bits.
+_MODULI = ((np.uint64((1 << 31) - 1), np.uint64(1_103_515_246)), (np.uint64(2_147_483_629), np.uint64(742_938_285)))
 _BYTE_KEY = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BASE = np.uint64(0xD1342543DE82EF95)
 
 
-def _powers(n: int, base: np.uint64) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+def _powers(n: int, base: np.uint64, modulus: np.uint64) -> np.ndarray:
+    """base**0 to base**(n - 1) modulo a prime, by doubling."""
+    out = np.ones(max(1, n), np.uint64)
+    size = 1
+    while size < n:
+        more = min(size, n - size)
+        out[size : size + more] = out[:more] * (out[size - 1] * base % modulus) % modulus
+        size += more
+    return out[:n]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans: equal spans, equal hashes. Prefix sums of keyed bytes times powers modulo 2**64."""
+    """62-bit hashes, mixed to 64, of ascending byte spans that don't overlap and aren't empty: equal spans, equal hashes.
+
+    Polynomials of keyed bytes modulo two primes: sums modulo a power of two would let long words of regular structure collide.
+    """
     if not len(starts):
         return np.empty(0, np.uint64)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_KEY[data] * _powers(len(data), _BASE), out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * _powers(len(data) + 1, _INVERSE)[starts] + (ends - starts).astype(np.uint64))
+    sizes = ends - starts
+    first = np.zeros(len(starts), np.int64)
+    np.cumsum(sizes[:-1], out=first[1:])
+    place = np.arange(first[-1] + sizes[-1]) - np.repeat(first, sizes)
+    own = data[place + np.repeat(starts, sizes)]
+    longest = int(sizes.max())
+    out = sizes.astype(np.uint64)
+    for modulus, base in _MODULI:
+        terms = (_BYTE_KEY % modulus)[own] * _powers(longest, base, modulus)[place] % modulus
+        out = (out * np.uint64(3)) ^ mix64(np.add.reduceat(terms, first) % modulus + (out << np.uint64(32)))
+    return mix64(out)
 
 
 def sums_by(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:

@@ -25,12 +25,14 @@ from pyspark.sql import functions as F
 
 from glyphlake.llm.common import mix64, span_hashes, staged, text_blocks, unstage, utf8, word_bounds
 
-#: Signature slots; bands of ROWS slots each: a pair at similarity 0.85 shares no band with probability 7e-9.
+#: Signature slots; bands of ROWS slots each: a pair shares no band with probability 7e-9 at similarity 0.85, 3e-6 at 0.8.
 SLOTS, ROWS = 160, 5
 #: Bits of the bitmap, in words of 64.
 MARKS = 16
 #: Most rounds with leaders; share of bucket rows that a round must settle for another one; pairs per row that are always too many.
 LEADER_ROUNDS, SETTLED, MANY = 10, 0.1, 500
+#: Rows of a bucket that one task holds against the others when all pairs of different groups are compared.
+SPLIT = 1000
 #: Most classes whose ids are copied to all tasks to pick out their texts; beyond, texts are joined by id.
 COPIED = 500_000
 
@@ -63,6 +65,12 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int = 5) -> list[np.ndarr
     return out
 
 
+def word_shingles(text: bytes, n: int = 5) -> set[tuple[bytes, ...]]:
+    """The distinct n-word shingles of a text in UTF-8, as words; of fewer words, the whole sequence."""
+    words = text.translate(_LOWER.tobytes()).split()
+    return set(zip(*[words[k:] for k in range(n)], strict=False)) if len(words) >= n else {tuple(words)} if words else set()
+
+
 def super_minhash(elements: np.ndarray, doc: np.ndarray, docs: int, slots: int = SLOTS) -> np.ndarray:
     """(docs, slots) of rank << 40 | fraction. elements: distinct per document; doc: the document of each, ascending."""
     out = np.full((docs, slots), np.iinfo(np.uint64).max, np.uint64)
@@ -155,7 +163,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     right = texts.select(F.col("c").alias("m"), F.col("text").alias("text_m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, np.empty(0, np.uint64)
+        last, own, spelled = None, np.empty(0, np.uint64), (None, set())
         for batch in batches:
             a, m, keep = batch.column("a").to_pylist(), batch.column("m").to_pylist(), []
             ta, tm = utf8(batch.column("text_a")), utf8(batch.column("text_m"))
@@ -169,7 +177,13 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 at = np.minimum(np.searchsorted(own, other), len(own) - 1)
                 both = int((own[at] == other).sum())
                 if 100 * both >= percent * (len(own) + len(other) - both):
-                    keep.append(i)
+                    # Hashes decide against a link for sure; a link is held to the words themselves.
+                    if a[i] != spelled[0]:
+                        spelled = (a[i], word_shingles(ta[0][ta[1][i] : ta[1][i + 1]].tobytes()))
+                    other_words = word_shingles(part.tobytes())
+                    shared = len(spelled[1] & other_words)
+                    if 100 * shared >= percent * (len(spelled[1]) + len(other_words) - shared):
+                        keep.append(i)
             yield pa.record_batch([pa.array([a[i] for i in keep], pa.binary()), pa.array([m[i] for i in keep], pa.binary())], ["a", "m"])
 
     return pairs.join(right, "m").join(left, "a").select("a", "m", "text_a", "text_m").mapInArrow(run, "a binary, m binary")
@@ -201,8 +215,9 @@ def group(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     Two texts are linked if 100 * intersection >= percent * union of their sets of distinct 5-word shingles; component_id is
     the least doc_id that links lead to. Texts without words (null, empty, blank) link with nothing. Rows that share an id
-    may have different texts; each row gets the component of its own text. Rows of a null id take no part: their
-    component is null and they are kept. An empty table gives no rows; other columns are ignored.
+    may have different texts; each row gets the component of its own text, equal rows the same. Rows of a null id take no
+    part: their component is null and they are kept. Texts are read whole, whatever their length. An empty table gives no
+    rows; other columns are ignored.
     """
     return rows_of_groups(docs, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -256,10 +271,18 @@ def _linked(docs: DataFrame, classes: DataFrame, members: DataFrame, percent: in
         else:
             order = F.struct(F.xxhash64("c", F.lit(turn)).alias("o"), "c", "comp", "n", *_MARK_NAMES)
             one = now.groupBy("b").agg(F.min(order).alias("x")).select("b", "x.*").drop("o")
-        x, y = one.alias("x"), now.alias("y")
+        x, y = one, now
+        if last:
+            # Large buckets are dealt over several tasks: a row of one side goes to one of them, of the other side to each.
+            sizes = staged(now.groupBy("b").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("deals")).where("deals > 1"), "deals")
+            kept.append(sizes)
+            deals = F.coalesce("deals", F.lit(1))
+            x = one.join(sizes, "b", "left").withColumn("deal", F.pmod(F.xxhash64("c"), deals).cast("int")).drop("deals")
+            y = now.join(sizes, "b", "left").withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1))).drop("deals")
+        x, y = x.alias("x"), y.alias("y")
         apart = (F.col("x.b") == F.col("y.b")) & (F.col("x.comp") != F.col("y.comp")) & _near("x", "y", percent)
         if last:
-            apart = apart & (F.col("x.c") < F.col("y.c"))
+            apart = apart & (F.col("x.deal") == F.col("y.deal")) & (F.col("x.c") < F.col("y.c"))
         pairs = y.join(x, apart).select(F.col("x.c").alias("a"), F.col("y.c").alias("m")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "m"], "left_anti")

@@ -374,6 +374,53 @@ def test_components_of_a_path(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def test_words_of_regular_structure_differ():
+    """Words of 1024 letters in Thue-Morse order and its complement collide under any sum modulo a power of two."""
+    signs = [bin(i).count("1") % 2 for i in range(1024)]
+    one, two = "".join("ab"[s] for s in signs), "".join("ba"[s] for s in signs)
+    data = np.frombuffer(f"{one} {two} {one}".encode(), np.uint8)
+    a, b, c = neardup.shingles(data, np.array([0, 1024, 2049, 3074]))
+    assert a.tolist() != b.tolist() and a.tolist() == c.tolist()
+
+
+def test_equal_words_have_equal_hashes_anywhere():
+    from glyphlake.llm.common import span_hashes, word_bounds
+
+    rng = np.random.default_rng(8)
+    text = " ".join("".join(rng.choice(list("abé"), rng.integers(1, 5))) for _ in range(5000))
+    data = np.frombuffer(text.encode(), np.uint8)
+    starts, ends, _ = word_bounds(data, np.array([0, len(data)]))
+    by_word = defaultdict(set)
+    for s, e, h in zip(starts.tolist(), ends.tolist(), span_hashes(data, starts, ends).tolist(), strict=True):
+        by_word[data[s:e].tobytes()].add(h)
+    assert all(len(x) == 1 for x in by_word.values())
+    assert len({next(iter(x)) for x in by_word.values()}) == len(by_word)
+
+
+def test_a_bucket_dealt_over_tasks(spark, monkeypatch):
+    """Many alike but unlinked texts in shared buckets, dealt over several tasks in the last round: no link is lost."""
+    rng = np.random.default_rng(11)
+    base = [f"b{k}" for k in range(100)]
+    docs = {}
+    for n in range(120):
+        own = list(base)
+        for k in rng.choice(100, 4 if n % 3 else 1, replace=False):
+            own[k] = f"c{n}x{k}"
+        docs[n] = " ".join(own)
+    monkeypatch.setattr(neardup, "SPLIT", 7)
+    monkeypatch.setattr(neardup, "LEADER_ROUNDS", 0)
+    got = neardup.group(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), 85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_groups(docs)
+
+
+def test_texts_joined_by_id_change_nothing(spark, monkeypatch, sf_dir, texts):
+    """The way for more classes than are copied to all tasks."""
+    monkeypatch.setattr(neardup, "COPIED", 0)
+    some = dict(sorted(texts.items())[:80])
+    got = neardup.group(spark.createDataFrame(list(some.items()), "doc_id long, text string"), 80).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_groups(some, 80)
+
+
 def naive_super_minhash(elements, slots):
     """The textbook loop: a full permutation for each element, draw by draw."""
     out = [None] * slots
