@@ -541,7 +541,7 @@ def test_pipeline_stages(spark, sf_dir, tokenizer):
             assert docs.dtypes == before.dtypes
     ids = lambda df: {r["doc_id"] for r in df.select("doc_id").collect()}
     before, after = seen["near_dedup"]
-    groups = brute_groups({r["doc_id"]: r["text"] for r in before.collect()})
+    groups = brute_groups({r["doc_id"]: r["text"] for r in before.collect()}, 80)
     assert ids(after) == {i for i, (_, c) in groups.items() if c == i}
     before, after = seen["pii"]
     assert ids(before) == ids(after)
@@ -564,6 +564,35 @@ def test_near_duplicates_go_by_row(spark, sf_dir):
     assert sorted((x for x in left if x[0] != 2), key=str) == sorted([rows[0], rows[2], rows[6], rows[7], rows[8], rows[10], rows[12]], key=str)
 
 
+def test_repeated_ids_in_every_stage(spark, sf_dir):
+    """Stage by stage, rows of repeated and null ids against a count by hand."""
+    prose = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(6).collect()
+    t = [r["text"] for r in prose]
+    rows = [(1, t[0], "s"), (5, t[0], "s"), (5, t[1], "s"), (5, t[1], "s"), (6, t[2] + " mail a@b.de", "s"), (None, t[3], None), (None, t[3], None), (7, None, "s"), (7, "", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    model_keeps = {r["text"] for r in quality_scores(spark, docs, sf_dir) if r["q"] >= corpus_pipeline.LEAST_QUALITY}
+    kept = corpus_pipeline.keep_quality(spark, docs, sf_dir).collect()
+    assert sorted(map(repr, kept)) == sorted(repr(r) for r in docs.collect() if r["text"] in model_keeps)
+    apart = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in apart.where("text != ''").collect()) == sorted([(1, t[0]), (5, t[1]), (6, rows[4][1]), (0, t[3]), (0, t[3])])
+    assert apart.count() == 7
+    clean = corpus_pipeline.redact(spark, docs, sf_dir)
+    assert clean.count() == len(rows) and clean.where("text like '%a@b.de%'").count() == 0
+    mixed = corpus_pipeline.mix_sources(spark, docs, sf_dir)
+    copies = mixing.mix(docs, "doc_id", "text").collect()
+    assert mixed.count() == sum(r["copies"] for r in copies) and mixed.where("text is null or text = ''").count() == 0
+    packed = corpus_pipeline.pack(spark, docs, sf_dir)
+    assert packed.where("piece = 0").count() == len(rows)
+
+
+def quality_scores(spark, docs, sf_dir):
+    from glyphlake.llm import quality
+    from glyphlake.llm.common import fold_of
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.score(docs, quality.fit(docs, labels, fold_of(F.col("doc_id"), 5) != 0), "text", name="q").collect()
+
+
 def test_pipeline_of_odd_rows(spark, sf_dir, odd):
     docs = odd
     for name in ("score", "email", "spans", "base", "copies", "size", "target", "kept", "n", "c", "rank", "cell", "length", "piece", "token", "y", "key", "host"):
