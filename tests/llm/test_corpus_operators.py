@@ -285,6 +285,76 @@ def test_template_text_goes_inside_articles(spark):
     assert {r["page_id"]: r["text"] for r in got} == own
 
 
+def texts_of(spark, rows):
+    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), "page_id").collect()
+    return {r["page_id"]: r["text"] for r in got}
+
+
+def test_wrappers_decide_pages_without_article(spark, monkeypatch):
+    """Slots of equal paths: only their place in the aligned stream of the host tells template text from the story. Of pages whose
+    parts differ, the wrapper is one all the same; switched off, the template text stays."""
+    def page(i):
+        extra = f"<ul><li>Point {i}<li>Another {i}</ul>" if i % 2 else ""
+        ad = "<table><tr><td>Offer</td></tr></table>" if i % 3 == 0 else ""
+        return f"<body><p>Our motto</p><hr>{ad}<h2>Title {i}</h2><p>Story {i}</p>{extra}<h3>Bye {i}</h3><p>Come back soon</p></body>"
+
+    rows = [(i, f"http://h/{i}", page(i)) for i in range(8)]
+    want = {i: "\n\n".join([f"Title {i}", f"Story {i}", *([f"Point {i}", f"Another {i}"] if i % 2 else []), f"Bye {i}"]) for i in range(8)}
+    assert texts_of(spark, rows) == want
+    monkeypatch.setattr(html, "verdict", lambda w: [[*x[:2], 0] if len(x) > 1 else x for x in w])
+    off = html.text_of(html.parse(page(0)), html._Stream(html.verdict(html.wrapper_of(html.parse(page(0))))))
+    assert "Our motto" in off and "Come back soon" in off
+
+
+def test_content_element_is_the_wrappers(spark):
+    """No page marks an article; the element classed as content that holds most of the host's text is read."""
+    rows = [(i, f"http://h/{i}", f"<body><div class=top><p>Visitor {i}</p></div><div class='post-content'><p>Story {i} " + "long text " * 20 + f"</p></div><div><p>Page {i}</p></div></body>") for i in range(2)]
+    assert texts_of(spark, rows) == {i: (f"Story {i} " + "long text " * 20).strip() for i in range(2)}
+
+
+def test_what_belongs_to_an_article(spark):
+    rows = [
+        (1, "http://a/1", "<article><header><h1>Title</h1></header><p>Text</p><div class='article-comments'><p>Reader</p></div><footer>Share</footer></article>"),
+        (2, "http://b/1", "<article><div class='article-header'><h1>T</h1></div><p class='related-work'>Others did <math><mi>x</mi></math> too</p><div class='related-posts'>More</div></article>"),
+        (3, "http://c/1", "<header><h1>Site</h1></header><article><p>One <span class=ad>buy <span>this</span> now</span> two</p><div hidden>no</div><div class=share>s</div></article>"),
+        (4, "http://d/1", "<article><p>Mine</p><section id=comments><article><p>Theirs</p></article></section><aside>Side</aside><form><p>Name</p></form></article>"),
+    ]
+    assert texts_of(spark, rows) == {1: "Title\n\nText", 2: "T\n\nOthers did x too", 3: "One two", 4: "Mine"}
+
+
+def test_deep_and_long_pages(spark):
+    deep = "<div>" * 10_000 + "at the bottom" + "</div>" * 10_000
+    unclosed = "<body>" + "<div><p>x" * 5_000 + "</section></span>" * 5_000
+    long = "<article>" + "".join(f"<p>Paragraph {i} of very many</p>" for i in range(100_000)) + "</article>"
+    varied = "<article>" + "".join(f"<div class=c{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}><p>t{i}</p></div>" for i in range(15_000)) + "</article>"
+    got = texts_of(spark, [(1, "http://h/1", deep), (2, "http://h/2", unclosed), (3, "http://h/3", long), (4, "http://h/4", varied), (5, "http://i/5", varied)])
+    assert got[1] == "at the bottom"
+    assert got[2] == "\n\n".join(["x"] * 5_000)
+    assert got[3] == "\n\n".join(f"Paragraph {i} of very many" for i in range(100_000))
+    assert got[4] == got[5] == "\n\n".join(f"t{i}" for i in range(15_000))
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<ul>", "<li>", "</ul>", "<h2>", "x", "y", "<article>", "</article>", "<nav>", "</nav>", "<br>"]), max_size=25), min_size=1, max_size=4))
+def test_alignment_is_whole(pages):
+    """Streams are balanced, wrappers know each slot of a page once, and a page meets the wrapper of its host in order."""
+    wrapper = None
+    for k, parts in enumerate(pages):
+        tokens = html.parse("".join(parts))
+        own = html.wrapper_of(tokens, k)
+        numbers = [n for x in own if x[0] == "#" for n in x[9]]
+        assert sorted(numbers) == list(range(sum(x[0] == "#" for x in tokens)))
+        wrapper = own if wrapper is None else html.align(wrapper, own)
+        depth = 0
+        for x in wrapper:
+            depth += (x[0] in "<(") - (x[0] in ">)")
+            assert depth >= 0
+        assert depth == 0
+        met = [(i, j) for what, i, j in html._steps(html._Stream(wrapper), html._Stream(own)) if what == "both"]
+        assert [j for _, j in met if j >= 0] == sorted({j for _, j in met if j >= 0})
+        assert html.regex_of(wrapper).count("#text") == sum(x[0] == "#" for x in wrapper)
+
+
 def test_wrapper_is_union_free():
     one = html.wrapper_of(html.parse("<ul><li>a<li>b</ul><p>x"))
     two = html.wrapper_of(html.parse("<ul><li>a</ul><h2>h</h2><p>x"))
