@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import spans, staged, uniform
+from glyphlake.llm.common import staged, uniform
 
 #: log2 of the number of hash buckets, and the n-gram lengths in code points.
 BITS = 16
@@ -17,6 +17,9 @@ LENGTHS = (1, 2, 3)
 #: Most documents of a language that the model is fitted on, on average over hashes of the ids.
 PER_LANGUAGE = 2000
 
+#: Code points that are counted or scored at once; longer texts go in pieces that share the n-grams at their borders.
+PIECE = 1 << 18
+
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
@@ -28,6 +31,27 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32), offsets
 
 
+def _pieces(texts: list[str]) -> Iterator[tuple[list[int], list[str], np.ndarray]]:
+    """Blocks of about PIECE code points: numbers of texts, lower-cased pieces of them, and how many n-gram starts of a piece are its own."""
+    owners: list[int] = []
+    parts: list[str] = []
+    own: list[int] = []
+    size = 0
+    for i, t in enumerate(texts):
+        low = t.lower()
+        for a in range(0, max(1, len(low)), PIECE):
+            part = low[a : a + PIECE + max(LENGTHS) - 1]
+            owners.append(i)
+            parts.append(part)
+            own.append(min(PIECE, len(low) - a))
+            size += len(part)
+            if size >= PIECE:
+                yield owners, parts, np.array(own)
+                owners, parts, own, size = [], [], [], 0
+    if parts:
+        yield owners, parts, np.array(own)
+
+
 def _buckets(codes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each n: the bucket of the n-gram that starts at each position, and bounds of each document's own n-grams."""
     for n in LENGTHS:
@@ -52,9 +76,10 @@ def counts(docs: DataFrame) -> DataFrame:
             for lang in sorted(set(langs)):
                 own = [texts[i].as_py() or "" for i, x in enumerate(langs) if x == lang]
                 sums = total.setdefault(lang, np.zeros(1 << BITS, np.int64))
-                for i, j in spans(np.array([len(t) for t in own]), 1 << 19):
-                    codes, offsets = _codes(own[i:j])
+                for _, parts, starts in _pieces(own):
+                    codes, offsets = _codes(parts)
                     for h, (start, end) in _buckets(codes, offsets):
+                        end = np.minimum(end, start + starts)
                         inside = np.zeros(len(h) + 1, np.int32)
                         np.add.at(inside, start, 1)
                         np.add.at(inside, end, -1)
@@ -70,7 +95,8 @@ def fit(docs: DataFrame, train: Column, per_language: int = PER_LANGUAGE, seed:
     """The languages in code-point order and the (buckets, languages) matrix of log probabilities.
 
     Learns from rows where ``train`` holds, lang is not null and text is not null: of each language about per_language at
-    most, those whose hash of the id is below per_language / rows of that language. Languages weigh the same a priori.
+    most, those whose hash of the id is below per_language / rows of that language; rows of one id, or of null ones, are taken together. Languages weigh
+    the same a priori.
     """
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     # One row for each language, written so that the planner knows its size: texts move only if it is large.
@@ -90,7 +116,9 @@ def predict(docs: DataFrame, langs: list[str], log_prob: np.ndarray, *keep: str)
 
     score is the posterior of the predicted language where each n-gram counts as 1 / sqrt(n-grams) of one, so that long
     texts don't all score 1. Null texts and texts with no letter are ``und`` with score 0; so is every text if nothing
-    could be learned. Ties go to the first language in code-point order. An empty table gives no rows.
+    could be learned. Ties go to the first language in code-point order. Very long texts are scored in pieces, with the sums of
+    the whole; equal rows score alike; an empty table gives no rows. Columns besides text and keep are ignored; those of keep must
+    not bear the names of the result's own.
     """
     shared = docs.sparkSession.sparkContext.broadcast(log_prob)
     slim = docs.select(*keep, "text")
@@ -102,20 +130,19 @@ def predict(docs: DataFrame, langs: list[str], log_prob: np.ndarray, *keep: str)
             texts = [t or "" for t in batch.column("text").to_pylist()]
             known = np.array([any(map(str.isalpha, t)) for t in texts], bool) & bool(langs)
             best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-            for i, j in spans(np.array([len(t) for t in texts]), 1 << 18):
-                if not langs:
-                    break
-                codes, offsets = _codes(texts[i:j])
-                sums, grams = np.zeros((j - i, len(langs))), np.zeros(j - i)
-                for h, (start, end) in _buckets(codes, offsets):
-                    total = np.zeros((len(h) + 1, len(langs)))
-                    np.cumsum(matrix[h], axis=0, dtype=np.float64, out=total[1:])
-                    sums += total[end] - total[start]
-                    grams += end - start
+            if langs and texts:
+                sums, grams = np.zeros((len(texts), len(langs))), np.zeros(len(texts))
+                for owners, parts, starts in _pieces(texts):
+                    codes, offsets = _codes(parts)
+                    for h, (start, end) in _buckets(codes, offsets):
+                        end = np.minimum(end, start + starts)
+                        total = np.zeros((len(h) + 1, len(langs)))
+                        np.cumsum(matrix[h], axis=0, dtype=np.float64, out=total[1:])
+                        np.add.at(sums, owners, total[end] - total[start])
+                        np.add.at(grams, owners, end - start)
                 logits = sums / np.sqrt(np.maximum(grams, 1))[:, None]
                 odds = np.exp(logits - logits.max(axis=1, keepdims=True))
-                best[i:j] = sums.argmax(axis=1)
-                score[i:j] = odds.max(axis=1) / odds.sum(axis=1)
+                best, score = sums.argmax(axis=1), odds.max(axis=1) / odds.sum(axis=1)
             names = [langs[k] if ok else "und" for k, ok in zip(best.tolist(), known.tolist(), strict=True)]
             yield pa.record_batch([*[batch.column(c) for c in keep], pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0))], [*keep, "lang_pred", "score"])
 
