@@ -136,24 +136,26 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 
 
 def pack(cut: DataFrame, capacity: int) -> DataFrame:
-    """Add sequence_id and offset to pieces (any columns, with ``length`` from 1 to capacity; doc_id and piece order ties).
+    """Add sequence_id and offset to pieces (any columns, with ``length`` from 1 to capacity).
 
-    Offsets in a sequence are gapless from 0. Repeated rows are packed as often as they occur; an empty table stays empty.
+    Offsets in a sequence are gapless from 0. Which of the pieces of one length goes where is decided by their rows in the staged
+    table, so rows of one id, of null ids, or equal in all are dealt over tasks like any others. Repeated rows are packed
+    as often as they occur; an empty table stays empty.
     """
-    cut = staged(cut, "pieces")
-    counts = {int(r["length"]): int(r["n"]) for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
+    schema = cut.schema.names
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields)
+    kept = F.struct(*[F.col(f"`{c}`") for c in schema]).alias("_piece")  # apart, so that no name clashes
+    rows = staged(cut.select(kept, "length", F.monotonically_increasing_id().alias("row")), "pieces")
+    counts = {int(r["length"]): int(r["n"]) for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     cell = max(200, int(sum(counts.values()) ** 0.5))
     spread = cut.sparkSession.createDataFrame([(s, -(-n // cell)) for s, n in counts.items()], "length long, cells long")
-    salt = F.xxhash64("doc_id", "piece")
-    dealt = cut.join(F.broadcast(spread), "length").withColumn("cell", F.pmod(salt, F.col("cells"))).drop("cells")
+    dealt = rows.join(F.broadcast(spread), "length").withColumn("cell", F.pmod(F.xxhash64("row"), F.col("cells"))).drop("cells")
     before = Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = dealt.groupBy("length", "cell").agg(F.count("*").alias("n")).select("length", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("length", "cell").orderBy("doc_id", "piece", "ids_crc32")) - 1)
-    ranked = ranked.join(staged(cells, "cells"), ["length", "cell"]).withColumn("rank", F.col("rank") + F.col("base")).drop("cell", "base")
+    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("length", "cell").orderBy("row")) - 1)
+    ranked = ranked.join(staged(cells, "cells"), ["length", "cell"]).withColumn("rank", F.col("rank") + F.col("base"))
     places = np.array(sorted(plan(counts, capacity)) or [(0, 0, 0, 0, 0)], np.int64)
     keys = (places[:, 0] << 44) + places[:, 1]
-    schema = cut.schema.names
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,4 +163,4 @@ def pack(cut: DataFrame, capacity: int) -> DataFrame:
             row = places[np.searchsorted(keys, (length << 44) + rank, "right") - 1]
             yield pa.record_batch([*[batch.column(c) for c in schema], pa.array(row[:, 3] + rank - row[:, 1]), pa.array(row[:, 4])], [*schema, "sequence_id", "offset"])
 
-    return ranked.select(*schema, "rank").mapInArrow(run, f"{types}, sequence_id long, offset long")
+    return ranked.select("_piece.*", "rank").mapInArrow(run, f"{types}, sequence_id long, offset long")
