@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphlake.llm.common import mix64, text_blocks, utf8
@@ -23,6 +24,8 @@ from glyphlake.llm.common import mix64, text_blocks, utf8
 WINDOW, RIVALS, WINS, LEVELS = 64, 64, 16, 1000
 #: Bits and elements of a Bloom filter, bits set for an element.
 FILTER_BITS, FILTER_ITEMS, HASHES = 2048, 160, 5
+#: Bytes of text in a slice of ids, and most slices; more text then makes longer slices, which tasks read in blocks all the same.
+SLICE, MOST_SLICES = 1 << 26, 2000
 #: Share of the possible overlap beyond chance that still counts as none.
 CHANCE = 0.3
 
@@ -187,24 +190,41 @@ def fingerprints(docs: DataFrame, slices: int = 0) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), a row per row of docs.
 
     The next document is the one that follows in descending doc_id, after the last comes the first; rows of one id follow
-    by their text, null ids come last. Null texts count as empty. An empty table gives no rows, a single row follows
-    itself.
+    by a hash of their text, descending, null ids come last, by that hash too. Null texts count as empty. An empty table gives no rows,
+    a single row follows itself. Very long texts are read whole; columns besides doc_id and text are ignored.
 
-    Ids are cut into slices of about equal rows; each slice goes to one task in order, with a copy of the first row of the slice
-    that follows, so that every row meets the next one without ordering the corpus in one place.
+    Ids are cut into slices of about equal rows, as many as SLICE bytes of text ask for; an id on more rows than a slice has is cut by the
+    hashes of their texts. Each slice goes to one task of its own in order, with a copy of the first row of the slice that follows, so
+    that every row meets the next one without ordering the corpus in one place. (Rows equal in id and text meet in one task.)
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rank = precedence(docs)
-    slices = slices or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marks = docs.select(F.percentile_approx("doc_id", [k / slices for k in range(1, slices)], 20 * slices).alias("m")).collect()[0]["m"]
-    marks = sorted(set(marks or []))
-    edges = F.array(*[F.lit(m) for m in marks]) if marks else F.array().cast("array<bigint>")
-    # Slice 0 has the greatest ids; null ids make up the last slice.
-    low = F.size(F.filter(edges, lambda m: m >= F.col("doc_id")))
-    slice_of = F.when(F.col("doc_id").isNull(), F.lit(len(marks) + 1)).otherwise(low)
-    order = F.struct(F.col("doc_id").isNotNull().alias("has"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("t"))
-    keyed = docs.select("doc_id", "text", slice_of.alias("slice"), F.xxhash64("text").alias("t"))
+    whole = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids"), F.sum(F.octet_length("text")).alias("bytes")).collect()[0]
+    slices = slices or min(MOST_SLICES, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(whole["bytes"] or 0) // SLICE)))
+    marks = docs.select(F.percentile_approx("doc_id", [k / slices for k in range(1, slices)], 20 * slices).alias("m")).collect()[0]["m"] if slices > 1 else None
+    # From the greatest id down: each mark that occurs once ends a slice; one that occurs r times is an id with r slices of its own.
+    times = Counter(marks or [])
+    marks, own, first, at = sorted(times, reverse=True), [0], [0], 1
+    for m in marks:
+        own.append(times[m] if times[m] > 1 else 0)
+        first.append(at)
+        at += own[-1] + 1
+    nulls = max(1, round((whole["n"] - whole["ids"]) * slices / max(1, whole["n"])))
+    ints = lambda xs: F.array(*[F.lit(int(x)) for x in xs]) if xs else F.array().cast("array<bigint>")
+    text_hash = F.xxhash64("text")
+
+    def part(t: Column, n: Column) -> Column:
+        """Which of n equal parts of all hashes, from the greatest down."""
+        return F.least(F.floor((F.lit(float(1 << 63)) - t.cast("double")) / float(1 << 64) * n), n - 1).cast("int")
+
+    above = F.size(F.filter(ints(marks), lambda m: m >= F.col("doc_id")))
+    keyed = docs.select("doc_id", "text", text_hash.alias("t"), F.when(F.col("doc_id").isNotNull(), above).alias("above"))
+    hot, its = F.get(ints(own), F.col("above")), F.get(ints(marks), F.col("above") - 1) == F.col("doc_id")
+    inside = F.when((hot > 0) & its, part(F.col("t"), hot)).otherwise(hot)
+    slice_of = F.when(F.col("doc_id").isNull(), at + part(F.col("t"), F.lit(nulls))).otherwise(F.get(ints(first), F.col("above")) + inside)
+    keyed = keyed.select("doc_id", "text", "t", slice_of.cast("int").alias("slice"))
+    order = F.struct(F.col("doc_id").isNotNull().alias("has"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("t").alias("t"))
     firsts = keyed.groupBy("slice").agg(F.max(order).alias("x")).orderBy("slice").collect()  # a row per slice
     present = [int(r["slice"]) for r in firsts]
     heads = {s: (r["x"]["id"] if r["x"]["has"] else None, r["x"]["t"]) for s, r in zip(present, firsts, strict=True)}
@@ -214,7 +234,7 @@ def fingerprints(docs: DataFrame, slices: int = 0) -> DataFrame:
     keyed = keyed.join(F.broadcast(ahead), match, "left").drop("h_id", "h_t")
     places = F.array(F.struct(F.col("slice").alias("at"), F.lit(False).alias("extra")), F.struct(F.col("also").alias("at"), F.lit(True).alias("extra")))
     dealt = keyed.select("doc_id", "text", "t", F.explode(F.filter(places, lambda p: p["at"].isNotNull())).alias("p")).select("doc_id", "text", "t", "p.at", "p.extra")
-    dealt = dealt.repartition(max(1, slices), "at").sortWithinPartitions("at", "extra", F.desc_nulls_last("doc_id"), F.desc("t"))
+    dealt = dealt.repartitionById(max(1, at + nulls), F.col("at")).sortWithinPartitions("at", "extra", F.desc_nulls_last("doc_id"), F.desc("t"))
 
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
