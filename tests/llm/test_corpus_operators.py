@@ -54,6 +54,13 @@ def test_ids_are_the_tokenizers(tokenizer, text):
     assert packing.encode(text, TOKENIZER).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("aeiou '\n\t0129")), max_size=60))
+def test_ids_of_random_texts(text):
+    slow = packing._encoders(TOKENIZER, True)[1]
+    assert packing.encode(text, TOKENIZER).tolist() == slow.encode(text, add_special_tokens=False).ids
+
+
 def check_packed(rows, docs, tokenizer, capacity):
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -89,6 +96,17 @@ def test_packing_edges(spark, odd, tokenizer):
     assert packing.pack(packing.pieces(odd.limit(0), TOKENIZER, 64), 64).count() == 0
 
 
+def test_packing_of_equal_rows(spark, tokenizer):
+    """Thousands of equal rows, and null ids: every row is packed once, extra columns of any name stay."""
+    docs = spark.createDataFrame([(None if i % 2 else 3, "a text that all rows have") for i in range(4000)], "doc_id long, text string")
+    cut = packing.pieces(docs, TOKENIZER, 64).withColumn("row", F.lit("r")).withColumn("cell", F.lit("c"))
+    got = packing.pack(cut, 64).collect()
+    n = len(tokenizer.encode("a text that all rows have", add_special_tokens=False).ids) + 1
+    places = {(r["sequence_id"], r["offset"]) for r in got}
+    assert len(got) == len(places) == 4000 and {r["row"] + r["cell"] for r in got} == {"rc"}
+    assert len({r["sequence_id"] for r in got}) == -(-4000 // (64 // n))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 60), min_size=1, max_size=60))
 def test_plan_is_whole_and_tight(sizes):
@@ -207,6 +225,22 @@ def test_fingerprint_edges(spark, odd):
     assert fingerprints.fingerprints(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("slices", [1, 4, 40])
+def test_fingerprints_of_hot_ids(spark, slices):
+    """An id, and null ids, on most rows are cut into slices by their texts; every row still meets the next one."""
+    rng = np.random.default_rng(4)
+    make = lambda: "".join(rng.choice(list("abcdefgh "), rng.integers(0, 200)))
+    rows = [(i, make()) for i in range(20)] + [(7, make()) for _ in range(60)] + [(None, make()) for _ in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("t", F.xxhash64("text")).cache()
+    order = [(r["doc_id"], r["text"]) for r in docs.orderBy(F.desc_nulls_last("doc_id"), F.desc("t")).collect()]
+    got = fingerprints.fingerprints(docs.drop("t"), slices=slices).collect()
+    want = []
+    for k, (i, text) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        want.append((i or -1, len(text), hashlib.sha256(fingerprints.edited(text, after).encode()).hexdigest()))
+    assert sorted((r["doc_id"] or -1, r["n_chars"], r["edited_sha256"]) for r in got) == sorted(want)
+
+
 def test_likeness():
     rank = np.arange(fingerprints.LEVELS + 1, dtype=np.int32)
     rng = np.random.default_rng(5)

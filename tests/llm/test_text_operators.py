@@ -91,6 +91,25 @@ def test_language_edges(spark, odd):
     assert {r["lang_pred"] for r in language.predict(odd, *none, "doc_id").collect()} == {"und"}
 
 
+def test_pieces_of_a_text_have_the_grams_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(7)
+    make = lambda letters, n: "".join(rng.choice(list(letters + " "), n))
+    rows = [(i, make("abcde" if i % 2 else "defgh", int(rng.integers(0, 3000))), "xy"[i % 2]) for i in range(30)] + [(40, "İ" * 50 + "Σ" * 40, "x"), (41, None, "y")]
+    monkeypatch.setattr(language, "PIECE", 7)
+    texts = [r[1] or "" for r in rows]
+    for n_at, n in enumerate(language.LENGTHS):
+        found = [[] for _ in texts]
+        for owners, parts, own in language._pieces(texts):
+            codes, offsets = language._codes(parts)
+            h, (start, end) = list(language._buckets(codes, offsets))[n_at]
+            for k, i in enumerate(owners):
+                found[i] += h[start[k] : min(end[k], start[k] + own[k])].tolist()
+        for i, t in enumerate(texts):
+            codes, offsets = language._codes([t])
+            h, (start, end) = list(language._buckets(codes, offsets))[n_at]
+            assert found[i] == h[start[0] : end[0]].tolist(), (n, i)
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.text(alphabet="ab é", max_size=6), min_size=1, max_size=5))
 def test_grams_stay_in_their_text(texts):
@@ -147,6 +166,67 @@ def test_toxicity_edges(spark, odd):
     assert named("foul")["strong"] == 0
 
 
+def test_trees_by_brute_force():
+    """The first tree's every split is the best of all, and scores are the sums of the leaves that a row falls into."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 3))
+    y = ((x[:, 0] > 0.3) ^ (x[:, 1] > 0.8)).astype(float)
+    weight = np.ones(300)
+    edges, trees, base = toxicity.grow(x, y, weight)
+    b = np.stack([[int(np.sum(edges[k] <= v)) for v in x[:, k]] for k in range(3)], axis=1)
+    p = 1 / (1 + np.exp(-base))
+    g, h = y - p, np.full(300, p * (1 - p))
+
+    def score_of(rows):
+        return g[rows].sum() ** 2 / (h[rows].sum() + 1)
+
+    def best(rows):
+        gains = [0.0]
+        for k in range(3):
+            for c in range(toxicity.BINS):
+                left, right = rows[b[rows, k] <= c], rows[b[rows, k] > c]
+                if h[left].sum() >= 2 and h[right].sum() >= 2:
+                    gains.append(score_of(left) + score_of(right) - score_of(rows))
+        return max(gains)
+
+    feature, cut, leaves = trees[0]
+    todo = [(0, np.arange(300))]
+    while todo:
+        node, rows = todo.pop()
+        if node >= len(feature):
+            leaf = node - len(feature)
+            assert leaves[leaf] == pytest.approx(toxicity.SHRINK * g[rows].sum() / (h[rows].sum() + 1))
+            continue
+        left, right = rows[b[rows, feature[node]] <= cut[node]], rows[b[rows, feature[node]] > cut[node]]
+        gain = score_of(left) + score_of(right) - score_of(rows) if len(left) and len(right) else 0.0
+        assert gain == pytest.approx(best(rows), abs=1e-6)
+        todo += [(2 * node + 1, left), (2 * node + 2, right)]
+    scores = toxicity.raw_score(x, edges, trees, base)
+    for i in range(0, 300, 17):
+        total = base
+        for feature, cut, leaves in trees:
+            node = 0
+            while node < len(feature):
+                node = 2 * node + 1 + int(b[i, feature[node]] > cut[node])
+            total += leaves[node - len(feature)]
+        assert scores[i] == pytest.approx(total)
+    assert ((scores > 0) == (y == 1)).mean() > 0.95
+
+
+def test_features_by_hand():
+    lexicon = {"grumbolt": (0, 3.0), "snarf*": (0, 2.0), "meh": (1, 1.2), "bah": (2, 0.5), "": frozenset(["sna"])}
+    text = "YOU Grumbolt, snarfen meh! bah gr0mbolt w1 x.y"
+    got = dict(zip(toxicity.NAMES, toxicity.text_features(text, lexicon), strict=True))
+    found = ["you", "grumbolt", "snarfen", "meh", "bah", "gr", "mbolt", "w", "x", "y"]
+    m = len(found)
+    letters = sum(map(len, found))
+    want = {"strong": 200 / m, "strong_distinct": 2, "medium": 100 / m, "weak": 100 / m, "near_second": 0.5, "second": 100 / m}
+    want |= {"capitals": 4 / letters, "punctuation": (len(text) - letters - text.count(" ")) / len(text), "log_words": np.log1p(m), "mean_weight": (3 + 2 + 1.2 + 0.5) / m}
+    for name, value in want.items():
+        assert got[name] == pytest.approx(value), name
+    assert got["hidden_strong"] == 0 and dict(zip(toxicity.NAMES, toxicity.text_features("grumb0lt", lexicon), strict=True))["hidden_strong"] == 1
+
+
 def test_isotonic_is_monotone_and_exact():
     x, y = np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1])
     knots = toxicity.isotonic(x, y, np.ones(4))
@@ -192,6 +272,53 @@ def test_quality_edges(spark, odd):
     assert quality.score(odd.limit(0), model, "doc_id").count() == 0
 
 
+def test_a_step_of_training_by_hand():
+    """One pass over three documents, number by number."""
+    xs = [(np.array([1, 5, 9], np.int32), np.array([0.5, 0.25, 0.25], np.float32)), (np.array([2, 5], np.int32), np.array([0.5, 0.5], np.float32)), (np.array([], np.int32), np.array([], np.float32))]
+    ys, dim, rate, seed = np.array([1, 0, 1]), 2, 0.5, 3
+    weight, bias = quality.train(xs, ys, dim, 1, rate, seed)
+    rng = np.random.default_rng(seed)
+    first = ((rng.random((quality.BUCKETS, dim)) - 0.5) / dim).astype(np.float32)
+    vectors = {b: [float(x) for x in first[b]] for ids, _ in xs for b in ids.tolist()}
+    layer, biases = [[0.0, 0.0] for _ in range(dim)], [0.0, 0.0]
+    cost = {0: 0.5 / (1 / 3), 1: 0.5 / (2 / 3)}
+    for step, i in enumerate(rng.permutation(3).tolist()):
+        ids, parts = xs[i][0].tolist(), xs[i][1].tolist()
+        lr = rate * (1 - step / 3) * cost[int(ys[i])]
+        hidden = [sum(p * vectors[b][d] for b, p in zip(ids, parts, strict=True)) for d in range(dim)]
+        z = [sum(hidden[d] * layer[d][c] for d in range(dim)) + biases[c] for c in (0, 1)]
+        total = sum(np.exp(x) for x in z)
+        grad = [np.exp(z[c]) / total - (ys[i] == c) for c in (0, 1)]
+        back = [sum(layer[d][c] * grad[c] for c in (0, 1)) for d in range(dim)]
+        for b, p in zip(ids, parts, strict=True):
+            vectors[b] = [v - lr * p**0.5 * x for v, x in zip(vectors[b], back, strict=True)]
+        layer = [[layer[d][c] - lr * hidden[d] * grad[c] for c in (0, 1)] for d in range(dim)]
+        biases = [biases[c] - lr * 0.1 * grad[c] for c in (0, 1)]
+    for b, v in vectors.items():
+        assert weight[b] == pytest.approx(sum(v[d] * (layer[d][1] - layer[d][0]) for d in range(dim)), abs=1e-5)
+    assert bias == pytest.approx(biases[1] - biases[0], abs=1e-5)
+
+
+def test_scores_are_the_averages_of_features(spark):
+    rng = np.random.default_rng(9)
+    model = quality.Model(rng.normal(size=quality.BUCKETS).astype(np.float32), 0.3)
+    texts = ["one two two three", "", "aé b", "x" * 40, None]
+    got = {r["doc_id"]: r["score"] for r in quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, "doc_id").collect()}
+    for i, t in enumerate(texts):
+        ids, parts = quality.sparse(np.frombuffer((t or "").encode(), np.uint8))
+        odds = sum(float(model.weight[b]) * float(p) for b, p in zip(ids, parts, strict=True)) + 0.3
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-odds)), abs=1e-5)
+
+
+def test_sample_has_one_row_for_an_id(spark):
+    from glyphlake.llm.common import labelled_sample
+
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "two"), (2, "two"), (3, None), (4, "four")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (4, 5), (None, 1)], "doc_id long, y int")
+    got = labelled_sample(docs, labels, "y", F.lit(True), 100, "s").collect()
+    assert sorted((r["doc_id"], r["y"]) for r in got) == [(1, 1), (2, 0)]
+
+
 def test_said_twice_is_one_feature():
     pair = lambda t: list(quality.features(np.frombuffer(t, np.uint8), np.array([0, len(t)])))[1][0].tolist()
     assert pair(b"so so") == pair(b"ab ab")
