@@ -34,50 +34,62 @@ def score_l1_similarity(queries: DataFrame, postings: DataFrame, word: str = "wo
 
 
 def full_l1(queries: DataFrame, postings: DataFrame, word: str = "word_id") -> DataFrame:
-    """The L1 distance over the union of words, of pairs that share any: what 2 + score must equal for L1-normalised vectors."""
-    q = queries.select(F.col("image_id").alias("query_id"), word, F.col("value").alias("q"))
-    d = postings.select("image_id", word, F.col("weight").alias("d"))
-    pairs = q.join(d, word).select("query_id", "image_id").distinct()
-    left = pairs.join(q, "query_id").select("query_id", "image_id", word, "q")
-    right = pairs.join(d, "image_id").select("query_id", "image_id", word, "d")
-    both = left.join(right, ["query_id", "image_id", word], "full_outer")
-    return both.groupBy("query_id", "image_id").agg(F.sum(F.abs(F.coalesce("q", F.lit(0.0)) - F.coalesce("d", F.lit(0.0)))).alias("distance"))
+    """The L1 distance over the union of words, of pairs that share any: each side's sum of magnitudes, and the score of the
+    shared words."""
+    q = _weighed(queries, "image_id", F.col("value"), F.sum(F.abs("value")), word).select(F.col("image_id").alias("query_id"), word, F.col("x").alias("q"), F.col("whole").alias("a"))
+    d = _weighed(postings, "image_id", F.col("weight"), F.sum(F.abs("weight")), word).select("image_id", word, F.col("x").alias("d"), F.col("whole").alias("b"))
+    score = F.max("a") + F.max("b") + l1_partial(F.col("q"), F.col("d"))
+    return q.join(d, word).groupBy("query_id", "image_id").agg(score.alias("distance"))
+
+
+def _weighed(rows: DataFrame, image: str, value: Column, whole: Column, word: str) -> DataFrame:
+    """(image, word, x, whole): a value of each word, and an aggregate over all words of the image."""
+    return rows.select(image, word, value.alias("x"), whole.over(Window.partitionBy(image)).alias("whole"))
+
+
+def _first(counted: DataFrame, cutoff: int) -> DataFrame:
+    """The rows of the images that share most words with each query, later ids first on ties."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("shared"), F.desc("image_id"))
+    return counted.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cutoff).drop("_n")
 
 
 def candidates(queries: DataFrame, postings: DataFrame, cutoff: int = 4096, word: str = "word_id") -> DataFrame:
     """Q5: (query_id, image_id, shared): the images that share most words with each query, later ids first on ties."""
     counts = shared_words(queries, postings, word).groupBy("query_id", "image_id").agg(F.count("*").alias("shared"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("shared"), F.desc("image_id"))
-    return counts.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cutoff).drop("_n")
+    return _first(counts, cutoff)
 
 
 def score_min_hist(queries: DataFrame, postings: DataFrame, idf: DataFrame, cutoff: int = 4096, word: str = "word_id") -> DataFrame:
     """Q5/Q6: histogram intersection: over shared words min(q / a, d / b) * idf, a and b each side's sum of count * idf.
 
-    Raw counts are divided by weighted sums on purpose; all words of an image count towards its sum.
+    Raw counts are divided by weighted sums on purpose; all words of an image count towards its sum, those without an idf
+    for the cutoff alone. Each side is divided before the one join, which counts shared words and sums at once.
     """
-    a = queries.join(idf, word).groupBy(F.col("image_id").alias("query_id")).agg(F.sum(F.col("value") * F.col("idf")).alias("a"))
-    b = postings.join(idf, word).groupBy("image_id").agg(F.sum(F.col("weight") * F.col("idf")).alias("b"))
-    near = candidates(queries, postings, cutoff, word).select("query_id", "image_id")
-    q = queries.select(F.col("image_id").alias("query_id"), word, F.col("value").alias("q"))
-    d = postings.select("image_id", word, F.col("weight").alias("d"))
-    shared = q.join(d, word).join(near, ["query_id", "image_id"]).join(idf, word).join(a, "query_id").join(b, "image_id")
-    ratio = F.least(F.col("q") / F.nullif(F.col("a"), F.lit(0.0)), F.col("d") / F.nullif(F.col("b"), F.lit(0.0)))
-    return shared.groupBy("query_id", "image_id").agg(F.coalesce(F.sum(ratio * F.col("idf")), F.lit(0.0)).alias("score"))
+
+    def side(rows: DataFrame, value: str, name: str) -> DataFrame:
+        own = rows.join(idf, word, "left")
+        whole = F.sum(F.col(value) * F.col("idf"))
+        share = F.col(value) / F.nullif(whole.over(Window.partitionBy("image_id")), F.lit(0.0))
+        return own.select("image_id", word, share.alias(name), "idf")
+
+    q = side(queries, "value", "q").withColumnRenamed("image_id", "query_id")
+    d = side(postings, "weight", "d").drop("idf")
+    # least skips nulls, which here stand for a side without weight.
+    score = F.sum(F.when(F.col("q").isNotNull() & F.col("d").isNotNull(), F.least("q", "d") * F.col("idf")))
+    both = q.join(d, word).groupBy("query_id", "image_id").agg(F.count("*").alias("shared"), F.coalesce(score, F.lit(0.0)).alias("score"))
+    return _first(both, cutoff).drop("shared")
 
 
 def score_cosine(queries: DataFrame, postings: DataFrame, idf: DataFrame, word: str = "word_id") -> DataFrame:
     """Q7: cosine of idf-weighted vectors; norms run over all words of each side, products over shared ones."""
 
-    def norm(df: DataFrame, key: str, value: str) -> DataFrame:
+    def side(rows: DataFrame, value: str, key: str, name: str, norm: str) -> DataFrame:
         w = F.col(value) * F.col("idf")
-        return df.join(idf, word).groupBy("image_id").agg(F.sqrt(F.sum(w * w)).alias(key))
+        return _weighed(rows.join(idf, word), "image_id", w, F.sum(w * w), word).select(F.col("image_id").alias(key), word, F.col("x").alias(name), F.sqrt("whole").alias(norm))
 
-    q = queries.select(F.col("image_id").alias("query_id"), word, F.col("value").alias("q"))
-    d = postings.select("image_id", word, F.col("weight").alias("d"))
-    dots = q.join(idf, word).join(d, word).groupBy("query_id", "image_id").agg(F.sum(F.col("q") * F.col("d") * F.col("idf") * F.col("idf")).alias("dot"))
-    dots = dots.join(norm(queries, "nq", "value").withColumnRenamed("image_id", "query_id"), "query_id").join(norm(postings, "nd", "weight"), "image_id")
-    return dots.select("query_id", "image_id", F.coalesce(F.col("dot") / F.nullif(F.col("nq") * F.col("nd"), F.lit(0.0)), F.lit(0.0)).alias("score"))
+    q, d = side(queries, "value", "query_id", "q", "nq"), side(postings, "weight", "image_id", "d", "nd")
+    dots = q.join(d, word).groupBy("query_id", "image_id").agg(F.sum(F.col("q") * F.col("d")).alias("dot"), (F.max("nq") * F.max("nd")).alias("norms"))
+    return dots.select("query_id", "image_id", F.coalesce(F.col("dot") / F.nullif(F.col("norms"), F.lit(0.0)), F.lit(0.0)).alias("score"))
 
 
 def top_n(scored: DataFrame, n: int = 64, ascending: bool = True, decimals: int = 9) -> DataFrame:
@@ -111,18 +123,40 @@ def bow_search(*_args) -> DataFrame:
     raise NotImplementedError("bags of words are searched through an index: see search()")
 
 
-def search_nodes(queries: DataFrame, vectors: DataFrame, cutoff: int, top: int) -> DataFrame:
-    """Q4: images that share a node with a query, the cutoff first by id, ranked by L2 distance over node vectors.
+def leaf_candidates(queries: DataFrame, vectors: DataFrame, cutoff: int) -> DataFrame:
+    """Q4: (query_id, image_id): the images in the first ``cutoff`` entries of the query's leaves, by the query's value at the leaf,
+    greatest first (compared after rounding; ties: lower node), then by image id.
 
-    Both tables are (image_id, node_id, value) with unit or zero length per image, so the distance follows from the inner
-    product: |a - b|^2 = |a|^2 + |b|^2 - 2 ab, and only shared nodes are joined.
+    Lists that begin behind the cutoff are not read: the sizes of the lists before a leaf say where its own begins.
     """
     q = queries.select(F.col("image_id").alias("query_id"), "node_id", F.col("value").alias("q"))
-    d = vectors.select("image_id", "node_id", F.col("value").alias("d"))
-    dots = q.join(d, "node_id").groupBy("query_id", "image_id").agg(F.sum(F.col("q") * F.col("d")).alias("dot"))
-    order = Window.partitionBy("query_id").orderBy("image_id")
-    dots = dots.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cutoff).drop("_n")
-    square = lambda df, name: df.groupBy("image_id").agg(F.sum(F.col("value") * F.col("value")).alias(name))
-    dots = dots.join(square(queries, "qq").withColumnRenamed("image_id", "query_id"), "query_id").join(square(vectors, "dd"), "image_id")
-    distance = F.sqrt(F.greatest(F.lit(0.0), F.col("qq") + F.col("dd") - 2 * F.col("dot")))
-    return top_n(dots.select("query_id", "image_id", F.round(distance, 9).alias("score")), top)
+    sizes = vectors.groupBy("node_id").agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy("query_id").orderBy(F.round("q", 9).desc(), "node_id").rowsBetween(Window.unboundedPreceding, -1)
+    begun = q.join(sizes, "node_id").withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0))).where(F.col("before") < cutoff)
+    whole = begun.where(F.col("before") + F.col("n") <= cutoff).join(vectors.select("image_id", "node_id"), "node_id").select("query_id", "image_id")
+    # At most one list of a query is cut.
+    cut = begun.where(F.col("before") + F.col("n") > cutoff).join(vectors.select("image_id", "node_id"), "node_id")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("image_id"))
+    cut = cut.withColumn("place", place).where(F.col("place") <= cutoff).where(F.col("before") + F.col("place") <= cutoff)
+    return whole.unionByName(cut.select("query_id", "image_id")).distinct()
+
+
+def search_nodes(queries: DataFrame, vectors: DataFrame, cutoff: int, top: int, leaves: DataFrame | None = None) -> DataFrame:
+    """Q4: images in the first ``cutoff`` entries of the query's leaves (see ``leaf_candidates``), ranked by L2 distance over node vectors.
+
+    Both tables are (image_id, node_id, value) with unit or zero length per image, so the distance follows from the inner
+    product: |a - b|^2 = |a|^2 + |b|^2 - 2 ab, and only shared nodes are joined. ``leaves`` has the node_id of those nodes that
+    have lists of images; without it all have.
+    """
+    listed = (queries, vectors) if leaves is None else [x.join(leaves.select("node_id").distinct(), "node_id", "left_semi") for x in (queries, vectors)]
+    near = leaf_candidates(*listed, cutoff)
+
+    def side(rows: DataFrame, key: str, name: str, square: str) -> DataFrame:
+        own = _weighed(rows, "image_id", F.col("value"), F.sum(F.col("value") * F.col("value")), "node_id")
+        return own.select(F.col("image_id").alias(key), "node_id", F.col("x").alias(name), F.col("whole").alias(square))
+
+    both = side(queries, "query_id", "q", "qq").join(side(vectors, "image_id", "d", "dd"), "node_id")
+    dots = both.groupBy("query_id", "image_id").agg(F.sum(F.col("q") * F.col("d")).alias("dot"), (F.max("qq") + F.max("dd")).alias("squares"))
+    distance = F.sqrt(F.greatest(F.lit(0.0), F.col("squares") - 2 * F.col("dot")))
+    near = dots.join(near, ["query_id", "image_id"], "left_semi")
+    return top_n(near.select("query_id", "image_id", F.round(distance, 9).alias("score")), top)

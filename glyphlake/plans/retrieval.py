@@ -22,7 +22,8 @@ r AS (SELECT query_id, image_id, score, rank FROM (SELECT *, CAST(row_number() O
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens(read(spark, sf_dir, "documents"))
+    """Each document's words, counted once and written: their number, frequencies and vectors all come from them."""
+    return staged(tokens(read(spark, sf_dir, "documents")), "words")
 
 
 def _text_bow(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,11 @@ def _text_bow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bow.normalize(bow.transform(words, bow.word_weights(words, "tf_idf", "word"), "tf_idf", "word"))
 
 
+def _text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bag, written: queries and postings both come from it."""
+    return staged(_text_bow(spark, sf_dir), "vectors")
+
+
 def _asked(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.col("image_id") % 100 == 0)
 
@@ -69,7 +75,7 @@ def postings_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def postings_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents added to an index of the labelled ones."""
-    vectors = _text_bow(spark, sf_dir)
+    vectors = _text_vectors(spark, sf_dir)
     labelled = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("image_id"))
     return _posted(index.add_images(index.build_index(vectors.join(labelled, "image_id", "left_semi"), "word"), vectors, "word"))
 
@@ -85,7 +91,7 @@ def index_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _text_bow(spark, sf_dir)
+    vectors = _text_vectors(spark, sf_dir)
     return _out(search.search(_asked(vectors), index.build_index(vectors, "word"), "l1", top=10, word="word"))
 
 
@@ -113,7 +119,7 @@ def candidate_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_min_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts, idf = _text_counts(spark, sf_dir)
-    return _out(search.search(_asked(counts), index.build_index(counts, "word"), "min_hist", top=10, cutoff=64, idf=idf, word="word"))
+    return _out(search.search(_asked(counts), index.build_index(counts, "word"), "min_hist", top=10, idf=idf, word="word"))
 
 
 def cosine_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,6 +133,13 @@ def search_node_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(search.search_nodes(vectors, vectors, 4096, 4))
 
 
+def search_node_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with few entries: the leaves with the query's greatest values come first."""
+    counts = _node_counts(spark, sf_dir)
+    vectors = staged(tree.node_vectors(counts, _node_weights(counts)).where("value > 0"), "node_vectors")
+    return _out(search.search_nodes(vectors, vectors, 25, 4, vectors.select("node_id").where("node_id >= 100").distinct()))
+
+
 def group_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.group_score(flagship(spark, sf_dir))
 
@@ -217,14 +230,17 @@ QUERIES = {
     f.__name__: f
     for f in (
         flagship, idf_flat, stop_words, bow_documents, postings_build, postings_add, postings_remove, index_entries, search_documents, l1_similarity, l1_distance,
-        candidate_cutoff, search_min_hist, cosine_sim, search_node_l2, group_score, mean_score, ground_truth, ratio_match, ransac_verify, good_match, validate_top,
+        candidate_cutoff, search_min_hist, cosine_sim, search_node_l2, search_node_cutoff, group_score, mean_score, ground_truth, ratio_match, ransac_verify, good_match, validate_top,
         result_names, match_page_rows, match_pages, bow_lines, result_lines,
     )
 }
 
-_CANDIDATES = TOKENS + """,
+def _candidates(cutoff: int) -> str:
+    return TOKENS + f""",
 cd AS (SELECT query_id, image_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, image_id DESC) AS rn FROM
-  (SELECT q.image_id AS query_id, d.image_id, count(*) AS shared FROM t q JOIN t d USING (word) WHERE q.image_id % 100 = 0 GROUP BY ALL)) WHERE rn <= 64)"""
+  (SELECT q.image_id AS query_id, d.image_id, count(*) AS shared FROM t q JOIN t d USING (word) WHERE q.image_id % 100 = 0 GROUP BY ALL)) WHERE rn <= {cutoff})"""
+
+
 _MARKED = SCORED + """,
 m AS (SELECT query_id, image_id, rank, score, CASE WHEN rank > 3 THEN 0 WHEN round(score, 6) < -1.5 THEN 1 ELSE -1 END AS mark, lpad(CAST(image_id AS VARCHAR), 5, '0') || '.jpg' AS name FROM r)"""
 _POSTED = "SELECT word, image_id, round(value, 6) AS weight FROM tb"
@@ -248,8 +264,8 @@ ORACLES = {
 SELECT query_id, image_id, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), image_id) AS INTEGER) AS rank FROM sc) WHERE rank <= 10""",
     "l1_similarity": f"WITH {SCORED} SELECT query_id, image_id, round(score * -0.5, 6) AS score FROM sc",
     "l1_distance": f"WITH {SCORED} SELECT query_id, image_id, round(2 + score, 6) AS distance FROM sc",
-    "candidate_cutoff": f"WITH {_CANDIDATES} SELECT query_id, image_id, shared FROM cd",
-    "search_min_hist": f"""WITH {_CANDIDATES}, norm AS (SELECT image_id, sum(n * weight) AS s FROM t JOIN tw USING (word) GROUP BY image_id),
+    "candidate_cutoff": f"WITH {_candidates(64)} SELECT query_id, image_id, shared FROM cd",
+    "search_min_hist": f"""WITH {_candidates(4096)}, norm AS (SELECT image_id, sum(n * weight) AS s FROM t JOIN tw USING (word) GROUP BY image_id),
 sc AS (SELECT cd.query_id, cd.image_id, coalesce(sum(least(q.n / nullif(a.s, 0), d.n / nullif(b.s, 0)) * weight), 0) AS score FROM cd JOIN t q ON q.image_id = cd.query_id JOIN t d ON d.image_id = cd.image_id AND d.word = q.word
   JOIN tw ON tw.word = q.word JOIN norm a ON a.image_id = cd.query_id JOIN norm b ON b.image_id = cd.image_id GROUP BY ALL)
 SELECT query_id, image_id, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, image_id) AS INTEGER) AS rank FROM sc) WHERE rank <= 10""",
@@ -260,6 +276,12 @@ SELECT query_id, image_id, round(score, 6) AS score, rank FROM (SELECT *, CAST(r
     "search_node_l2": f"""WITH {TREE}, v AS (SELECT image_id, node_id, n * weight AS value FROM nc JOIN nw USING (node_id) WHERE weight > 0),
 u AS (SELECT image_id, node_id, value / sqrt(sum(value * value) OVER (PARTITION BY image_id)) AS value FROM v),
 sc AS (SELECT q.image_id AS query_id, d.image_id, round(sqrt(greatest(0, 2 - 2 * sum(q.value * d.value))), 9) AS score FROM u q JOIN u d USING (node_id) GROUP BY ALL)
+SELECT query_id, image_id, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, image_id) AS INTEGER) AS rank FROM sc) WHERE rank <= 4""",
+    "search_node_cutoff": f"""WITH {TREE}, v AS (SELECT image_id, node_id, n * weight AS value FROM nc JOIN nw USING (node_id) WHERE weight > 0),
+u AS (SELECT image_id, node_id, value / sqrt(sum(value * value) OVER (PARTITION BY image_id)) AS value FROM v),
+en AS (SELECT q.image_id AS query_id, d.image_id, row_number() OVER (PARTITION BY q.image_id ORDER BY round(q.value, 9) DESC, node_id, d.image_id) AS rn FROM u q JOIN u d USING (node_id) WHERE node_id >= 100),
+near AS (SELECT DISTINCT query_id, image_id FROM en WHERE rn <= 25),
+sc AS (SELECT near.query_id, near.image_id, round(sqrt(greatest(0, 2 - 2 * sum(q.value * d.value))), 9) AS score FROM near JOIN u q ON q.image_id = near.query_id JOIN u d ON d.image_id = near.image_id AND d.node_id = q.node_id GROUP BY ALL)
 SELECT query_id, image_id, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, image_id) AS INTEGER) AS rank FROM sc) WHERE rank <= 4""",
     "group_score": f"WITH {SCORED} SELECT query_id, CAST(sum(CASE WHEN rank <= 4 AND query_id // 4 = image_id // 4 THEN 1 ELSE 0 END) AS BIGINT) AS group_score FROM r GROUP BY query_id",
     "mean_score": f"""WITH {SCORED}, g AS (SELECT query_id, sum(CASE WHEN query_id // 4 = image_id // 4 THEN 1 ELSE 0 END) AS s FROM r GROUP BY query_id)

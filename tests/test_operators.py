@@ -433,3 +433,14 @@ def test_staged_tables_go(spark):
     assert df.count() == 3 and os.path.isdir(folder)
     tables.unstage(df)
     assert not os.path.exists(folder)
+
+
+def test_entries_of_the_greatest_leaves_come_first(spark):
+    """With few entries, images of the leaf that weighs most are found, whatever their ids."""
+    nodes = "image_id long, node_id int, value double"
+    q = spark.createDataFrame([(0, 1, 0.9), (0, 2, 0.4)], nodes)
+    d = spark.createDataFrame([(i, 2, 1.0) for i in range(1, 50)] + [(i, 1, 1.0) for i in range(100, 103)], nodes)
+    assert rows(search.leaf_candidates(q, d, 5), "image_id") == [(1,), (2,), (100,), (101,), (102,)]
+    assert rows(search.leaf_candidates(q, d, 2), "image_id") == [(100,), (101,)]
+    assert len(rows(search.leaf_candidates(q, d, 4096), "image_id")) == 52
+    assert {r[0] for r in rows(search.search_nodes(q, d, 3, 64), "image_id")} == {100, 101, 102}
