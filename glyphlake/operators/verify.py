@@ -12,7 +12,8 @@ from glyphlake.functions.vectors import sq_l2
 #: A match is kept below this share of the second distance; inliers lie within so many pixels; at least so many matches
 #: are needed; a verdict needs so many inliers and more than so much confidence.
 RATIO, PIXELS, LEAST_MATCHES, LEAST_INLIERS, LEAST_CONFIDENCE = 0.8, 3.0, 9, 16, 0.7
-TRIALS = 500
+#: Most trials, and the probability that one of them had inliers alone, at which they end.
+TRIALS, SURE = 500, 0.99
 PAIR = "query_id long, image_id long"
 
 
@@ -22,13 +23,14 @@ def _one_way(distances: DataFrame, own: str, other: str) -> DataFrame:
     return ranked.where((F.col("_n") == 1) & (F.col("sq") < RATIO * RATIO * F.col("_second"))).select("query_id", "image_id", "kp_q", "kp_t")
 
 
-def ratio_matches(pairs: DataFrame, desc: DataFrame) -> DataFrame:
+def ratio_matches(pairs: DataFrame, desc: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """G1: (query_id, image_id, kp_q, kp_t) of the pairs of images, exact nearest neighbours.
 
     A descriptor matches its nearest one of the other image if that is nearer than RATIO of the second; matches of both
-    directions are united. With a single descriptor on the other side there is no second, so none.
+    directions are united. With a single descriptor on the other side there is no second, so none. asked: descriptors of the
+    queries, where they are not those of desc.
     """
-    q = desc.select(F.col("image_id").alias("query_id"), F.col("kp_id").alias("kp_q"), F.col("vec").alias("vec_q"))
+    q = (desc if asked is None else asked).select(F.col("image_id").alias("query_id"), F.col("kp_id").alias("kp_q"), F.col("vec").alias("vec_q"))
     t = desc.select("image_id", F.col("kp_id").alias("kp_t"), F.col("vec").alias("vec_t"))
     both = pairs.select("query_id", "image_id").join(q, "query_id").join(t, "image_id")
     distances = both.select("query_id", "image_id", "kp_q", "kp_t", sq_l2(F.col("vec_q"), F.col("vec_t")).alias("sq"))
@@ -91,14 +93,19 @@ MODELS = {"f": (8, fundamental, epipolar_distance), "h": (4, homography, transfe
 
 
 def ransac(a: np.ndarray, b: np.ndarray, model: str = "f", seed: int = 0, trials: int = TRIALS, pixels: float = PIXELS) -> tuple[np.ndarray | None, np.ndarray]:
-    """The model with most inliers and their mask; fewer matches than LEAST_MATCHES have no model."""
+    """The model with most inliers and their mask; fewer matches than LEAST_MATCHES have no model.
+
+    Trials end once the best model's share of inliers says that with probability SURE one trial had only inliers.
+    """
     if model not in MODELS:
         raise ValueError(f"unknown model {model!r}; f or h")
     if len(a) < LEAST_MATCHES:
         return None, np.zeros(len(a), bool)
     size, solve, distance = MODELS[model]
     rng, best, mask = np.random.default_rng(seed), None, np.zeros(len(a), bool)
-    for _ in range(trials):
+    done, enough = 0, trials
+    while done < enough:
+        done += 1
         at = rng.choice(len(a), size, replace=False)
         try:
             m = solve(a[at], b[at])
@@ -107,8 +114,8 @@ def ransac(a: np.ndarray, b: np.ndarray, model: str = "f", seed: int = 0, trials
         near = distance(m, a, b) <= pixels
         if near.sum() > mask.sum():
             best, mask = m, near
-            if near.all():
-                break
+            chance = near.mean() ** size
+            enough = min(trials, int(np.ceil(np.log(1 - SURE) / np.log(1 - chance)))) if chance < 1 else 0
     if best is not None and mask.sum() >= size:
         refined = solve(a[mask], b[mask])
         near = distance(refined, a, b) <= pixels
@@ -119,13 +126,14 @@ def ransac(a: np.ndarray, b: np.ndarray, model: str = "f", seed: int = 0, trials
     return best, mask
 
 
-def verify(matches: DataFrame, keypoints: DataFrame, model: str = "f", seed: int = 0) -> DataFrame:
+def verify(matches: DataFrame, keypoints: DataFrame, model: str = "f", seed: int = 0, asked: DataFrame | None = None) -> DataFrame:
     """(query_id, image_id, n_matches, num_inliers, confidence, good) of point matches (query_id, image_id, kp_q, kp_t).
 
     keypoints: (image_id, kp_id, x, y). Each pair of images is one group of at most its matches; draws depend on the seed
-    and the pair alone. Pairs with fewer than nine matches have no inliers and confidence 0.
+    and the pair alone. Pairs with fewer than nine matches have no inliers and confidence 0. asked: key points of the
+    queries, where they are not those of keypoints.
     """
-    q = keypoints.select(F.col("image_id").alias("query_id"), F.col("kp_id").alias("kp_q"), F.col("x").alias("xq"), F.col("y").alias("yq"))
+    q = (keypoints if asked is None else asked).select(F.col("image_id").alias("query_id"), F.col("kp_id").alias("kp_q"), F.col("x").alias("xq"), F.col("y").alias("yq"))
     t = keypoints.select("image_id", F.col("kp_id").alias("kp_t"), F.col("x").alias("xt"), F.col("y").alias("yt"))
     points = matches.join(q, ["query_id", "kp_q"]).join(t, ["image_id", "kp_t"])
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from glyphlake.plans import retrieval, service, vocabulary
+from glyphlake.plans import engine, retrieval, service, vocabulary
 from glyphlake.plans.retrieval import flagship
 
-QUERIES = vocabulary.QUERIES | retrieval.QUERIES | service.QUERIES
-ORACLES = vocabulary.ORACLES | retrieval.ORACLES | service.ORACLES
+QUERIES = vocabulary.QUERIES | retrieval.QUERIES | service.QUERIES | engine.QUERIES
+ORACLES = vocabulary.ORACLES | retrieval.ORACLES | service.ORACLES | engine.ORACLES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

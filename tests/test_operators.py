@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from glyphlake.functions import scalars, vectors
-from glyphlake.operators import bow, cluster, collections, evaluate, extract, imageops, index, registry, report, search, tree, verify
+from glyphlake.operators import bow, cluster, collections, engine, evaluate, extract, imageops, index, registry, report, search, tree, verify
 from glyphlake.sources import formats, tables
 from glyphlake.streaming import ingest
 
@@ -444,3 +444,66 @@ def test_entries_of_the_greatest_leaves_come_first(spark):
     assert rows(search.leaf_candidates(q, d, 2), "image_id") == [(100,), (101,)]
     assert len(rows(search.leaf_candidates(q, d, 4096), "image_id")) == 52
     assert {r[0] for r in rows(search.search_nodes(q, d, 3, 64), "image_id")} == {100, 101, 102}
+
+
+def test_stored_forms_are_checked(spark, tmp_path):
+    nodes = spark.createDataFrame([(0, None, 0, None, None, None), (1, 0, 1, [0.1, 1 / 3], 0.25, 0), (2, 0, 1, [1e-9, 2.0], 0.5, 1)], engine.TREE)
+    engine.save_tree(nodes, f"file://{tmp_path}/tree")
+    assert rows(engine.load_tree(spark, f"file://{tmp_path}/tree").where("level = 1"), *nodes.columns) == rows(nodes.where("level = 1"), *nodes.columns)
+    postings = spark.createDataFrame([(1, 7, 0.5), (0, 7, 1 / 3)], engine.POSTINGS)
+    engine.save_index(postings, f"file://{tmp_path}/index")
+    assert rows(engine.load_index(spark, f"file://{tmp_path}/index"), *postings.columns) == rows(postings, *postings.columns)
+    with pytest.raises(ValueError):
+        engine.load_tree(spark, f"file://{tmp_path}/index")
+    with pytest.raises(ValueError):
+        engine.load_index(spark, f"file://{tmp_path}/tree")
+    engine.save_tree(nodes.withColumn("word_id", F.lit(None).cast("int")), f"file://{tmp_path}/bare")
+    with pytest.raises(ValueError):
+        engine.load_tree(spark, f"file://{tmp_path}/bare")
+    users = spark.createDataFrame([("a@x", 2**62), ("b@x", -5)], "email string, user_id long")
+    engine.save_users(users, f"file://{tmp_path}/users")
+    assert rows(engine.load_users(spark, f"file://{tmp_path}/users"), "email", "user_id") == [("a@x", 2**62), ("b@x", -5)]
+
+
+def test_a_users_image_reaches_the_index(spark):
+    users = spark.createDataFrame([("a@x", 1), ("b@x", 2)], "email string, user_id long")
+    images = spark.createDataFrame([("a@x", "p0", 0)], "email string, path string, image_id long")
+    postings = spark.createDataFrame([("a@x", 0, 5, 1.0)], "email string, image_id long, word_id int, weight double")
+    asked = spark.createDataFrame([("a@x", "p1"), ("b@x", "p1"), ("a@x", "p0"), ("c@x", "p1")], "email string, path string")
+    words = spark.createDataFrame([("p1", 5), ("p1", 5), ("p1", 6), ("p1", 7), ("p0", 6)], "path string, word_id int")
+    weights = spark.createDataFrame([(5, 1.0), (6, 2.0), (7, 0.0)], "word_id int, weight double")
+    left, index_of, status = engine.add_user_images(users, images, asked, postings, words, weights)
+    assert rows(status, "email", "path", "image_id") == [("a@x", "p0", -2), ("a@x", "p1", 1), ("b@x", "p1", 0), ("c@x", "p1", -1)]
+    assert rows(left, "email", "image_id") == [("a@x", 0), ("a@x", 1), ("b@x", 0)]
+    assert rows(index_of, "email", "image_id", "word_id", "weight") == [("a@x", 0, 5, 1.0), ("a@x", 1, 5, 0.5), ("a@x", 1, 6, 0.5), ("b@x", 0, 5, 0.5), ("b@x", 0, 6, 0.5)]
+
+
+def test_retrieval_from_descriptors_to_names(spark):
+    """Two views of one scene and a stranger: the search ranks, points match, the geometry verifies, names come out."""
+    rng = np.random.default_rng(2)
+    scene, other = rng.normal(size=(30, 8)), rng.normal(size=(30, 8))
+    depth, at = rng.uniform(2, 6, 30), rng.uniform(-1, 1, (30, 2))
+    one = at * 400 + 400
+    two = (at * depth[:, None] + [0.5, 0.1]) / (depth[:, None] + 0.3) * 400 + 400
+    desc = [(i, k, v.tolist()) for i, vs in ((0, scene), (1, scene + 1e-3), (2, other)) for k, v in enumerate(vs)]
+    points = [(i, k, *map(float, p)) for i, ps in ((0, one), (1, two), (2, one)) for k, p in enumerate(ps)]
+    desc = spark.createDataFrame(desc, "image_id long, kp_id int, vec array<double>")
+    points = spark.createDataFrame(points, "image_id long, kp_id int, x double, y double")
+    vectors = spark.createDataFrame([(0, 1, 0.5), (0, 2, 0.5), (1, 1, 0.5), (1, 2, 0.5), (2, 1, 0.1), (2, 3, 0.9)], VECTOR)
+    names = spark.createDataFrame([(i, f"x/{i}.jpg") for i in range(3)], "image_id long, path string")
+    got = dict(rows(engine.retrieve(vectors, index.build_index(vectors), desc, points, names), "query_id", "names"))
+    assert got[0].split(",") == ["0.jpg", "1.jpg"] and got[2] == "2.jpg"
+    first = dict(rows(engine.retrieve(vectors, index.build_index(vectors), desc, points, names, topn=3), "query_id", "names"))
+    assert first[0] == "0.jpg,1.jpg,2.jpg"
+
+
+def test_trials_end_when_sure():
+    rng = np.random.default_rng(1)
+    a = rng.uniform(0, 600, (40, 2))
+    h = np.array([[0.9, 0.1, 12], [-0.05, 1.1, -7], [1e-4, 2e-5, 1]])
+    b = np.hstack([a, np.ones((40, 1))]) @ h.T
+    b = b[:, :2] / b[:, 2:]
+    b[:10] += 80
+    model, mask = verify.ransac(a, b, "h")
+    assert mask.tolist() == [False] * 10 + [True] * 30
+    assert np.allclose(model / model[2, 2], h, atol=1e-3)
