@@ -13,10 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphlake.functions.vectors import sq_l2
 from glyphlake.operators.bow import word_weights
-from glyphlake.operators.cluster import _matrix, means
-from glyphlake.sources.tables import staged
+from glyphlake.operators.cluster import _matrix
+from glyphlake.sources.tables import staged, unstage
 
 SCHEMA = "node_id int, parent_id int, level int, centroid array<double>, weight double, word_id int"
 
@@ -43,36 +42,51 @@ def _step(desc: DataFrame, children: dict[int, tuple[np.ndarray, np.ndarray]], m
 
 
 def _seed(state: DataFrame, nodes: list[int], split: int, seed: int) -> dict[int, list[np.ndarray]]:
-    """C1 for all nodes at once: per seed one job that takes each node's greatest log(u) / min_sq."""
+    """C1 for all nodes at once: per seed one job that takes each node's greatest log(u) / min_sq, min_sq to its seeds so far."""
     u = lambda turn: (F.xxhash64(F.lit(seed), F.lit(turn), "vec_id").bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
-    rows = state.where(F.col("node_id").isin(nodes))
-    first = rows.groupBy("node_id").agg(F.max_by("vec", F.struct(u(0).alias("u"), "vec_id")).alias("vec")).collect()
-    seeds = {r["node_id"]: [np.array(r["vec"])] for r in first}
-    newest, rows = {k: v[0] for k, v in seeds.items()}, rows.withColumn("min_sq", F.lit(float("inf")))
+    rows = state.where(F.col("node_id").isin(nodes)).withColumn("own", F.col("node_id"))
+    first = rows.groupBy("own").agg(F.max_by("vec", F.struct(u(0).alias("u"), "vec_id")).alias("vec")).collect()
+    seeds = {r["own"]: [np.array(r["vec"])] for r in first}
+    todo = set(seeds)
     for turn in range(1, split):
-        known = state.sparkSession.createDataFrame([(k, [float(x) for x in v]) for k, v in newest.items()], "node_id int, seed array<double>")
-        rows = rows.join(F.broadcast(known), "node_id").withColumn("min_sq", F.least("min_sq", sq_l2(F.col("vec"), F.col("seed")))).drop("seed")
-        rows = staged(rows, "seeds")
-        drawn = rows.where("min_sq > 0").groupBy("node_id").agg(F.max_by("vec", F.struct((F.log(u(turn)) / F.col("min_sq")).alias("r"), "vec_id")).alias("vec")).collect()
-        newest = {r["node_id"]: np.array(r["vec"]) for r in drawn}
-        if not newest:
+        far = _step(rows.where(F.col("node_id").isin(sorted(todo))), {k: (np.arange(len(seeds[k])), np.stack(seeds[k])) for k in todo}, "l2").where("sq > 0")
+        drawn = far.groupBy("own").agg(F.max_by("vec", F.struct((F.log(u(turn)) / F.col("sq")).alias("r"), "vec_id")).alias("vec")).collect()
+        todo = {r["own"] for r in drawn}
+        if not todo:
             break
-        for k, v in newest.items():
-            seeds[k].append(v)
-        rows = rows.where(F.col("node_id").isin(list(newest)))
+        for r in drawn:
+            seeds[r["own"]].append(np.array(r["vec"]))
     return seeds
 
 
-def _means(assigned: DataFrame) -> dict[int, np.ndarray]:
-    return {r["word_id"]: np.array(r["centroid"]) for r in means(assigned, "node_id").collect()}
+def _sums(assigned: DataFrame) -> dict[int, tuple[int, int, np.ndarray]]:
+    """Of each node its descriptors, a mark of which they are, and the mean vector: one pass, summed in tasks first."""
 
-
-def train_tree(desc: DataFrame, depth: int = 4, split: int = 6, seed: int = 0, max_iter: int = 20, weighting: str = "tf_idf", unit: bool = False) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, list] = {}
+        for batch in batches:
+            x, node = _matrix(batch.column("vec")), batch.column("node_id").to_numpy()
+            mark = (batch.column("vec_id").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64)
+            for k in np.unique(node).tolist():
+                own = node == k
+                held = total.setdefault(k, [0, 0, 0.0])
+                held[0] += int(own.sum())
+                held[1] = (held[1] + int(mark[own].sum())) % (1 << 40)
+                held[2] = held[2] + x[own].sum(axis=0)
+        yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([v[0] for v in total.values()], pa.int64()), pa.array([v[1] for v in total.values()], pa.int64()), pa.array([v[2].tolist() for v in total.values()], pa.list_(pa.float64()))], ["node_id", "n", "mark", "total"])
+
+    parts = assigned.select("vec_id", "node_id", "vec").mapInArrow(run, "node_id int, n long, mark long, total array<double>")
+    by_dim = parts.select("node_id", "n", "mark", F.posexplode("total").alias("dim", "x")).groupBy("node_id", "dim").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), (F.sum("mark") % (1 << 40)).alias("mark"))
+    rows = by_dim.groupBy("node_id").agg(F.first("n").alias("n"), F.first("mark").alias("mark"), F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("v")).collect()
+    return {r["node_id"]: (r["n"], r["mark"], np.array([p["x"] for p in r["v"]]) / r["n"]) for r in rows}
+
+
+def train_tree(desc: DataFrame, depth: int = 4, split: int = 6, seed: int = 0, max_iter: int | None = None, weighting: str = "tf_idf", unit: bool = False) -> DataFrame:
     """The tree of (vec_id, image_id, vec).
 
     A node with at most ``split`` descriptors gets a child for each, without further rounds; a child with one descriptor or
-    none is a leaf. Rounds end when no descriptor changes its child, after max_iter at most; an empty child keeps its
-    centroid. unit: centroids are scaled to length 1 and children chosen by inner product, as the first generation does.
+    none is a leaf. Rounds end when no descriptor changes its child, or after max_iter if that is given; an empty child keeps its
+    centroid. Descriptors stay as they are in all rounds of a level: each round sends the children out and brings sums back. unit: centroids are scaled to length 1 and children chosen by inner product, as the first generation does.
     The tree (at most split ** depth centroids) is on the driver; descriptors never are.
     """
     metric = "dot" if unit else "l2"
@@ -80,6 +94,7 @@ def train_tree(desc: DataFrame, depth: int = 4, split: int = 6, seed: int = 0, m
     if state.isEmpty():
         raise ValueError("no descriptors to train on")
     nodes: list[tuple] = [(0, None, 0, None)]
+    spent = [state]
     for level in range(1, depth + 1):
         sizes = {r["node_id"]: r["n"] for r in state.groupBy("node_id").agg(F.count("*").alias("n")).collect()}
         open_nodes = sorted(k for k, n in sizes.items() if n > 1 or level == 1)
@@ -99,20 +114,22 @@ def train_tree(desc: DataFrame, depth: int = 4, split: int = 6, seed: int = 0, m
             own = np.stack(centres[parent])
             children[parent] = (np.arange(at, at + len(own)), _unit(own) if unit else own)
             at += len(own)
-        base = state
-        before = None
-        for _ in range(max_iter):
-            state = staged(_step(base, children, metric).select("vec_id", "image_id", "vec", "node_id"), "tree")
-            signature = state.agg(F.sum(F.xxhash64("vec_id", "node_id").cast("decimal(38,0)"))).collect()[0][0]
-            if signature == before or not big:
+        before, rounds = None, 0
+        while big and (max_iter is None or rounds < max_iter):
+            found, rounds = _sums(_step(state, children, metric)), rounds + 1
+            marks = {k: v[:2] for k, v in found.items()}
+            if marks == before:
                 break
-            before, found = signature, _means(state.where(F.col("node_id") >= len(nodes)))
+            before = marks
             for parent in big:
                 ids, old = children[parent]
-                new = np.stack([found.get(int(i), old[j]) for j, i in enumerate(ids)])
+                new = np.stack([found[int(i)][2] if int(i) in found else old[j] for j, i in enumerate(ids)])
                 children[parent] = (ids, _unit(new) if unit else new)
+        state = staged(_step(state, children, metric).select("vec_id", "image_id", "vec", "node_id"), "tree")
+        spent.append(state)
         for parent in sorted(children):
             nodes += [(int(i), parent, level, [float(x) for x in c]) for i, c in zip(*children[parent], strict=True)]
+    unstage(*spent)
     table = desc.sparkSession.createDataFrame([(*n, None, None) for n in nodes], SCHEMA)
     return weigh(create_words(table), desc, weighting, metric)
 

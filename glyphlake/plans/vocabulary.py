@@ -125,7 +125,7 @@ def kmeanspp_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flat_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     desc = desc_of(spark, sf_dir)
-    codebook = cluster.train_codebook(desc, 16, max_iter=8)
+    codebook = cluster.train_codebook(desc, 16)
     return cluster.assign(desc, codebook).groupBy("word_id").agg(F.count("*").alias("n"), F.round(F.sum("sq"), 6).alias("sq"))
 
 
@@ -208,7 +208,7 @@ def node_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hkmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = tree.train_tree(desc_of(spark, sf_dir), depth=2, split=4, max_iter=6)
+    nodes = tree.train_tree(desc_of(spark, sf_dir), depth=2, split=4)
     return nodes.select("node_id", "parent_id", "level", F.round("weight", 6).alias("weight"), "word_id")
 
 
