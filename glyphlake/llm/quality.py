@@ -74,8 +74,10 @@ def sparse(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "quality", per_class: int = PER_CLASS) -> Model:
-    """Learn from at most about per_class labelled rows of each class for which ``keep`` holds.
+    """Learn from at most about per_class labelled ids of each class for which ``keep`` holds, one row of each.
 
+    Ids of null, labels other than 0 and 1, and null texts teach nothing. The sample is fitted in one task, whose memory follows from
+    per_class: a text has at most BUCKETS features, whatever its length.
     Classes weigh the same in training; the bias then moves the log odds to the classes' shares among all labelled rows.
     Without both classes the score is the share of class 1 (0.5 without any label) for every text.
     """
@@ -138,7 +140,11 @@ def train(xs: list[tuple[np.ndarray, np.ndarray]], ys: np.ndarray, dim: int = DI
 
 
 def score(docs: DataFrame, model: Model, *keep: str, name: str = "score") -> DataFrame:
-    """(keep..., score): probability of class 1 of every whole text. Null, empty and blank texts get the bias alone."""
+    """(keep..., score): probability of class 1 of every whole text. Null, empty and blank texts get the bias alone.
+
+    Texts are read whole, whatever their length; equal rows score alike; an empty table gives no rows. Columns besides text and
+    keep are ignored; those of keep must not bear the name of the score.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     slim = docs.select(*keep, "text") if "text" not in keep else docs.select(*keep)
     schema = StructType([*[slim.schema[c] for c in keep], StructField(name, DoubleType())])

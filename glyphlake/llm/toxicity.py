@@ -35,6 +35,7 @@ LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"
 
 WORD = re.compile(r"[^\W\d_]+")
 _MIXED = re.compile(r"(?=[A-Za-z@$!|]*[0-9@$!|])[A-Za-z0-9@$!|]*[A-Za-z][A-Za-z0-9@$!|]*")
+#: Letters set apart by one mark each, 3 to 21 of them: longer runs are read in parts.
 _SPACED = re.compile(r"(?<!\w)(?:\w[.\-*_ ]){2,20}\w(?!\w)")
 NAMES = ("strong", "strong_distinct", "medium", "weak", "near_second", "second", "capitals", "punctuation", "obfuscated", "hidden_strong", "log_words", "mean_weight")
 
@@ -229,9 +230,9 @@ def _measured(docs: DataFrame, lexicon: dict, *keep: str) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic", per_class: int = PER_CLASS) -> Model | None:
-    """Learn from at most about per_class labelled rows of each class where ``keep`` holds; None unless both classes occur.
+    """Learn from at most about per_class labelled ids of each class where ``keep`` holds, one row of each; None unless both classes occur.
 
-    Rows are weighted back to the classes' shares among all labelled rows.
+    Ids of null, labels other than 0 and 1, and null texts teach nothing. Rows are weighted back to the classes' shares among all labelled rows.
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & keep)
     n = {int(r["y"]): int(r["n"]) for r in own.groupBy(F.col(label).alias("y")).agg(F.count("*").alias("n")).collect()}
@@ -261,7 +262,11 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic",
 
 
 def score(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
-    """(keep..., score) of every row's whole text; null and empty texts have all features zero. Without a model all score 0."""
+    """(keep..., score) of every row's whole text; null and empty texts have all features zero. Without a model all score 0.
+
+    Texts are read whole, whatever their length; equal rows score alike; an empty table gives no rows. Columns besides text and
+    keep are ignored; those of keep must not bear the name of the score.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     slim = docs.select(*keep, "text")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
