@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphlake.sources.tables import staged
+
 #: Element types of matrices.
 ELEMENTS = {0: np.uint8, 5: np.float32, 6: np.float64}
 
@@ -125,7 +127,7 @@ def _decoded(spark: SparkSession, path: str, glob: str, ddl: str, rows: Callable
                 found = rows(content.as_py())
                 yield pa.RecordBatch.from_pylist([{"path": file} | dict(zip(names, r, strict=True)) for r in found], schema=schema)
 
-    schema = pa.schema([("path", pa.string()), *[(n, {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "float": pa.float32(), "double": pa.float64(), "array<float>": pa.list_(pa.float32())}[x.split()[1]]) for n, x in zip(names, ddl.split(", "), strict=True)]])
+    schema = pa.schema([("path", pa.string()), *[(n, {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "float": pa.float32(), "double": pa.float64(), "array<float>": pa.list_(pa.float32()), "array<long>": pa.list_(pa.int64())}[x.split()[1]]) for n, x in zip(names, ddl.split(", "), strict=True)]])
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     return files.select("path", "content").mapInArrow(run, f"path string, {ddl}")
 
@@ -157,6 +159,80 @@ def read_dense(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return _decoded(spark, path, glob, "node_id int, value float", lambda data: list(enumerate(unpack_dense(data).tolist())))
 
 
+def read_flat_index(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(path, word_id, idf, image_ids) of flat index files."""
+
+    def rows(data: bytes) -> list[tuple]:
+        idf, lists = unpack_flat_index(data)
+        return [(k, float(w), x.astype(np.int64).tolist()) for k, (w, x) in enumerate(zip(idf, lists, strict=True))]
+
+    return _decoded(spark, path, glob, "word_id int, idf float, image_ids array<long>", rows)
+
+
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """K1/K2/K7: (name, content) as files below a folder of any file system that Arrow knows; (name, length) of what was written.
+
+    Tasks write under a name of their own first and then rename, so that a task that runs twice leaves one whole file.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            names, sizes = batch.column("name").to_pylist(), []
+            for name, content in zip(names, batch.column("content"), strict=True):
+                data = content.as_py() or b""
+                target = f"{root.rstrip('/')}/{name}"
+                system.create_dir(target.rpartition("/")[0], recursive=True)
+                part = f"{target}.{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as out:
+                    out.write(data)
+                system.move(part, target)
+                sizes.append(len(data))
+            yield pa.record_batch([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["name", "length"])
+
+    return staged(files.select("name", "content").mapInArrow(run, "name string, length long"), "written")
+
+
+def _packed(rows: DataFrame, by: str, schema: str, pack: Callable) -> DataFrame:
+    """(name, content): each name's rows in one file's layout. A file is as large as its image or index, so a group fits into a task."""
+
+    def run(pdf):
+        import pandas as pd
+
+        return pd.DataFrame({"name": [pdf[by].iloc[0]], "content": [pack(pdf)]})
+
+    return rows.groupBy(by).applyInPandas(run, schema)
+
+
+def matrix_files(desc: DataFrame, name: str = "name") -> DataFrame:
+    """K2: (name, content) of matrices of 32-bit floats from (name, kp_id, vec)."""
+    return _packed(desc.select(name, "kp_id", "vec"), name, "name string, content binary", lambda pdf: pack_matrix(np.stack(pdf.sort_values("kp_id")["vec"].to_list()).astype(np.float32)))
+
+
+def sparse_files(vectors: DataFrame, name: str = "name") -> DataFrame:
+    """K2: (name, content) of sparse vectors from (name, word_id, value)."""
+    return _packed(vectors.select(name, "word_id", "value"), name, "name string, content binary", lambda pdf: pack_sparse(list(pdf.sort_values("word_id")[["word_id", "value"]].itertuples(index=False, name=None))))
+
+
+def collection_files(images: DataFrame, name: str = "name") -> DataFrame:
+    """K1: (name, content) of collections from (name, image_id, image_path)."""
+    return _packed(images.select(name, "image_id", "image_path"), name, "name string, content binary", lambda pdf: pack_collection([(int(i), p) for i, p in pdf.sort_values("image_id")[["image_id", "image_path"]].itertuples(index=False)]))
+
+
+def flat_index_files(lists: DataFrame, name: str = "name") -> DataFrame:
+    """K7: (name, content) of flat indexes from (name, word_id, idf, image_ids), word ids from 0 without gaps."""
+
+    def pack(pdf) -> bytes:
+        pdf = pdf.sort_values("word_id")
+        return pack_flat_index(pdf["idf"].to_numpy(), [np.array(x, np.int64) for x in pdf["image_ids"]])
+
+    return _packed(lists.select(name, "word_id", "idf", "image_ids"), name, "name string, content binary", pack)
+
+
 def image_id_of(path: str):
     """The id in a feature file's name, as a column."""
     return F.regexp_extract(path, r"(\d{9,})\.[^./]+$", 1).cast("long")

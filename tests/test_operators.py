@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from glyphlake.functions import scalars, vectors
 from glyphlake.operators import bow, cluster, collections, engine, evaluate, extract, imageops, index, registry, report, search, tree, verify
 from glyphlake.sources import formats, tables
+from glyphlake.sources import images as image_files
 from glyphlake.streaming import ingest
 
 VECTOR = "image_id long, word_id int, value double"
@@ -507,3 +508,69 @@ def test_trials_end_when_sure():
     model, mask = verify.ransac(a, b, "h")
     assert mask.tolist() == [False] * 10 + [True] * 30
     assert np.allclose(model / model[2, 2], h, atol=1e-3)
+
+
+def png(rows, colour, filters, depth=8, palette=None):
+    """A PNG file of rows of bytes, each row under its filter."""
+    import struct
+    import zlib
+
+    step, above, out = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour], [0] * len(rows[0]), b""
+    for row, kind in zip(rows, filters, strict=True):
+        line = []
+        for x, v in enumerate(row):
+            left, up, corner = (row[x - step] if x >= step else 0), above[x], (above[x - step] if x >= step else 0)
+            p = left + up - corner
+            paeth = min((left, up, corner), key=lambda q: (abs(p - q), (left, up, corner).index(q)))
+            line.append((v - {0: 0, 1: left, 2: up, 3: (left + up) // 2, 4: paeth}[kind]) % 256)
+        out += bytes([kind, *line])
+        above = row
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    width = len(rows[0]) // step if depth == 8 else len(rows[0]) * 8 // depth
+    head = struct.pack(">IIBBBBB", width, len(rows), depth, colour, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + (chunk(b"PLTE", palette) if palette else b"") + chunk(b"IDAT", zlib.compress(out)) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("colour", [0, 2, 4, 6])
+def test_png_filters(colour):
+    rng = np.random.default_rng(colour)
+    channels = {0: 1, 2: 3, 4: 2, 6: 4}[colour]
+    want = rng.integers(0, 256, (10, 7, channels))
+    found = image_files.decode(png(want.reshape(10, -1).tolist(), colour, [0, 1, 2, 3, 4, 4, 3, 2, 1, 0]))
+    assert found.tolist() == want[:, :, : 3 if channels > 2 else 1].tolist()
+
+
+def test_pixels_of_files(spark):
+    import struct
+
+    grey = [[0, 10, 20], [30, 40, 50]]
+    bmp = b"BM" + struct.pack("<IHHI", 0, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 1, 2, 1, 24, 0, 0, 0, 0, 0, 0) + bytes([3, 2, 1, 0, 6, 5, 4, 0])
+    files = [(1, png(grey, 0, [0, 4])), (2, b"P5 # made by hand\n3 2\n255\n" + bytes(sum(grey, []))), (3, bmp), (4, b"no image"), (5, None), (6, png([[0b10110000]], 0, [0], depth=1)), (7, png([[1, 0]], 3, [0], palette=bytes([9, 8, 7, 6, 5, 4])))]
+    got = image_files.pixels(spark.createDataFrame(files, "image_id long, content binary"))
+    by = {}
+    for r in got.collect():
+        by.setdefault(r["image_id"], {})[r["y"], r["x"]] = (r["c0"], r["c1"], r["c2"])
+    assert by[1] == by[2] == {(y, x): (v, v, v) for y, line in enumerate(grey) for x, v in enumerate(line)}
+    assert by[3] == {(0, 0): (4, 5, 6), (1, 0): (1, 2, 3)}
+    assert by[7] == {(0, 0): (6, 5, 4), (0, 1): (9, 8, 7)}
+    assert [by[6][0, x][0] for x in range(8)] == [255, 0, 255, 255, 0, 0, 0, 0]
+    assert set(by) == {1, 2, 3, 6, 7}
+    summed = imageops.integral_image(imageops.to_gray(got.where("image_id = 1")))
+    assert summed.agg(F.max("s")).first()[0] == pytest.approx(150)
+
+
+def test_files_are_written_and_read_back(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    desc = spark.createDataFrame([("f/1.desc", 1, [3.0, 4.0]), ("f/1.desc", 0, [1.0, 2.5]), ("f/2.desc", 0, [9.0, 9.0])], "name string, kp_id int, vec array<float>")
+    assert rows(formats.write_files(formats.matrix_files(desc), folder), "name") == [("f/1.desc",), ("f/2.desc",)]
+    back = formats.read_matrices(spark, folder, "*.desc")
+    assert rows(back.withColumn("name", F.regexp_extract("path", "(f/.*)$", 1)), "name", "kp_id", "vec") == rows(desc, "name", "kp_id", "vec")
+    vectors = spark.createDataFrame([("v.bow", 5, 0.5), ("v.bow", 2, 0.25)], "name string, word_id long, value float")
+    formats.write_files(formats.sparse_files(vectors), folder)
+    assert rows(formats.read_sparse(spark, folder, "*.bow"), "word_id", "value") == [(2, 0.25), (5, 0.5)]
+    images = spark.createDataFrame([("c.db", 2, "b/é.jpg"), ("c.db", 1, "a.jpg")], "name string, image_id long, image_path string")
+    formats.write_files(formats.collection_files(images), folder)
+    assert rows(formats.read_collection(spark, folder, "*.db"), "image_id", "image_path") == [(1, "a.jpg"), (2, "b/é.jpg")]
+    lists = spark.createDataFrame([("i.idx", 1, 0.5, [7, 8]), ("i.idx", 0, 1.5, [])], "name string, word_id int, idf float, image_ids array<long>")
+    formats.write_files(formats.flat_index_files(lists), folder)
+    assert rows(formats.read_flat_index(spark, folder, "*.idx"), "word_id", "idf", "image_ids") == [(0, 1.5, []), (1, 0.5, [7, 8])]
