@@ -245,6 +245,18 @@ def rows_of_groups(docs: DataFrame, percent: int, *keep: str) -> DataFrame:
     return out.select("doc_id", *keep, "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"), "comp")
 
 
+def _met(one: DataFrame, all_rows: DataFrame, percent: int, once: bool, *also: str) -> DataFrame:
+    """(a, m): rows of one bucket (and equal in ``also``), one of each side, of different groups, that may be similar enough; each pair
+    in one order only where ``once`` says so."""
+    x, y = one.alias("x"), all_rows.alias("y")
+    apart = (F.col("x.comp") != F.col("y.comp")) & _near("x", "y", percent)
+    for column in ("b", *also):
+        apart = (F.col(f"x.{column}") == F.col(f"y.{column}")) & apart
+    if once:
+        apart = apart & (F.col("x.c") < F.col("y.c"))
+    return y.join(x, apart).select(F.col("x.c").alias("a"), F.col("y.c").alias("m"))
+
+
 def _linked(docs: DataFrame, classes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """(c, comp) of all classes that share a bucket with another one; comp is the class's own key where nothing links."""
     own = members.select("c").distinct().withColumn("comp", F.col("c"))
@@ -271,19 +283,18 @@ def _linked(docs: DataFrame, classes: DataFrame, members: DataFrame, percent: in
         else:
             order = F.struct(F.xxhash64("c", F.lit(turn)).alias("o"), "c", "comp", "n", *_MARK_NAMES)
             one = now.groupBy("b").agg(F.min(order).alias("x")).select("b", "x.*").drop("o")
-        x, y = one, now
+        pairs = _met(one, now, percent, last)
         if last:
-            # Large buckets are dealt over several tasks: a row of one side goes to one of them, of the other side to each.
+            # Large buckets are dealt over several tasks: a row of one side goes to one of them, of the other side to each. The
+            # others stay apart from them, as both sides of their join are then one exchange.
             sizes = staged(now.groupBy("b").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("deals")).where("deals > 1"), "deals")
             kept.append(sizes)
-            deals = F.coalesce("deals", F.lit(1))
-            x = one.join(sizes, "b", "left").withColumn("deal", F.pmod(F.xxhash64("c"), deals).cast("int")).drop("deals")
-            y = now.join(sizes, "b", "left").withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1))).drop("deals")
-        x, y = x.alias("x"), y.alias("y")
-        apart = (F.col("x.b") == F.col("y.b")) & (F.col("x.comp") != F.col("y.comp")) & _near("x", "y", percent)
-        if last:
-            apart = apart & (F.col("x.deal") == F.col("y.deal")) & (F.col("x.c") < F.col("y.c"))
-        pairs = y.join(x, apart).select(F.col("x.c").alias("a"), F.col("y.c").alias("m")).distinct()
+            if not sizes.isEmpty():
+                rest, large = now.join(sizes, "b", "left_anti"), now.join(sizes, "b")
+                dealt = large.withColumn("deal", F.pmod(F.xxhash64("c"), F.col("deals")).cast("int"))
+                each = large.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
+                pairs = _met(rest, rest, percent, last).unionByName(_met(dealt, each, percent, last, "deal"))
+        pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "m"], "left_anti")
         pairs = staged(pairs, "pairs")
