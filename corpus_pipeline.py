@@ -64,8 +64,8 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: each document as often as the mix takes it; those without words (null, empty, blank) are not taken. Null
-    sources are one source; of equal rows as many are taken as fit the target."""
+    """Operator 8: each document as often as the mix takes it; those without words (null, empty, blank) are copied like
+    others and add none. Null sources are one source; of equal rows as many are taken as fit the target."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")  # apart, so that no name clashes
     taken = mixing.mix(docs.select(whole, "doc_id", "text", "source"), "_doc").where("copies > 0")
     return taken.select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_doc.*")
