@@ -92,12 +92,13 @@ def add_user_images(users: DataFrame, images: DataFrame, requests: DataFrame, po
     return left, postings.select("email", "image_id", "word_id", "weight").unionByName(vectors), status
 
 
-def matched(queries: DataFrame, postings: DataFrame, desc: DataFrame, asked: DataFrame, top: int = RETURNED, verified: int = VERIFIED) -> tuple[DataFrame, DataFrame]:
+def matched(queries: DataFrame, postings: DataFrame, desc: DataFrame, asked: DataFrame, top: int = RETURNED, verified: int = VERIFIED, alike: bool = False) -> tuple[DataFrame, DataFrame]:
     """Q3: ranked results of the queries' vectors, and point matches of the first ``verified`` of each.
 
     desc: (image_id, kp_id, vec) of the indexed images, asked: of the queries. Descriptors of the few images to verify are joined by id.
+    alike: see ``search``.
     """
-    ranked = search.search(queries, postings, "l1", top)
+    ranked = search.search(queries, postings, "l1", top, alike=alike)
     pairs = ranked.where(F.col("rank") <= verified).select("query_id", "image_id")
     return ranked, verify.ratio_matches(pairs, desc, asked)
 

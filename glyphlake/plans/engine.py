@@ -55,7 +55,7 @@ def add_numeric_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retrieve_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each image searched among all; of its first ten results how many points match."""
     desc, vectors = desc_of(spark, sf_dir), image_bow(spark, sf_dir)
-    ranked, matches = engine.matched(vectors, index.build_index(vectors), desc, desc)
+    ranked, matches = engine.matched(vectors, index.build_index(vectors), desc, desc, alike=True)
     counted = matches.groupBy("query_id", "image_id").agg(F.count("*").alias("n"))
     near = ranked.where(F.col("rank") <= engine.VERIFIED).join(counted, ["query_id", "image_id"], "left")
     return near.select("query_id", "image_id", "rank", F.coalesce("n", F.lit(0)).cast("long").alias("n_matches"))
