@@ -43,9 +43,8 @@ MAIN = frozenset("content article post entry story main".split())
 
 #: Different pages that must have a text for it to be template text.
 PAGES = 3
-#: Tokens of a wrapper, and of neighbours that are aligned to fold them. Beyond, a wrapper takes up no further optional parts, and
-#: neighbours stay apart: their texts are then held by no template, and stay.
-WRAPPER, FOLDED = 20_000, 4_000
+#: Tokens of neighbours that are aligned to fold them. Beyond, neighbours stay apart, each with all it has.
+FOLDED = 4_000
 #: Wrappers of a host meet in groups, whose number falls in these steps.
 GROUPS = (1024, 32, 1)
 
@@ -291,10 +290,9 @@ def _steps(one: _Stream, two: _Stream) -> Iterator[tuple[str, int, int]]:
                 i, j = one.after(i), two.after(j)
 
 
-def _aligned(a: list[list], b: list[list], most: int = WRAPPER) -> list[list]:
-    """One stream for two: what only one has becomes optional. Parts of b go untaken where the result would exceed ``most`` tokens."""
+def _aligned(a: list[list], b: list[list]) -> list[list]:
+    """One stream for two: what only one has becomes optional."""
     one, two, out = _Stream(a), _Stream(b), []
-    room = max(0, most - len(a))
     for what, i, j in _steps(one, two):
         if what == "both":
             out.append(_joined(a[i], b[j]) if i >= 0 and j >= 0 else list(a[i] if i >= 0 else b[j]))
@@ -303,10 +301,6 @@ def _aligned(a: list[list], b: list[list], most: int = WRAPPER) -> list[list]:
         else:
             source, stream = (a, one) if what == "a" else (b, two)
             part = source[i : stream.after(i)]
-            if what == "b":
-                if len(part) > room:
-                    continue
-                room -= len(part)
             out.append([part[0][0], part[0][1], part[0][2] | OPTIONAL, *part[0][3:]])
             out += part[1:]
     return out
@@ -474,7 +468,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
                     if x[0] == SLOT:
                         x[9] = []
                 host = _host(url)
-                found[host] = align(found[host], own) if host in found else own if len(own) <= WRAPPER else []
+                found[host] = align(found[host], own) if host in found else own
                 if len(found) > 4096:
                     yield flush()
         yield flush()
