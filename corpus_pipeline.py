@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphlake.llm import mixing, neardup, packing, pii, quality
-from glyphlake.llm.common import fold_of, staged, table, unstage
+from glyphlake.llm.common import fold_of, staged, table, unstage, without
 
 #: Tokens of a packed sequence; least quality score that stays; percentage of common shingles that links near duplicates.
 CAPACITY = 2048
@@ -39,7 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     key = ["doc_id", "_text_hash"]
     groups = staged(neardup.rows_of_groups(keyed, NEAR, "_text_hash"), "groups")
     dropped = staged(groups.where(~F.col("kept")).select(*key).distinct(), "dropped")
-    left = keyed.join(dropped, key, "left_anti")
+    left = without(keyed, dropped, *key)
     repeated = staged(groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
         return left.select(*docs.columns)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from glyphlake.sources.tables import read as table
 from glyphlake.sources.tables import staged, unstage
 
-__all__ = ["SPACES", "WORD", "fold_of", "labelled_sample", "mix64", "span_hashes", "spans", "staged", "sums_by", "table", "text_blocks", "uniform", "unstage", "utf8", "word_bounds", "words"]
+__all__ = ["SPACES", "WORD", "fold_of", "labelled_sample", "mix64", "span_hashes", "spans", "staged", "sums_by", "table", "text_blocks", "uniform", "unstage", "utf8", "without", "word_bounds", "words"]
 
 #: Java regular expression of a word: anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -163,3 +163,27 @@ def sums_by(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     total = np.zeros((len(values) + 1, *values.shape[1:]), np.float64)
     np.cumsum(values, axis=0, dtype=np.float64, out=total[1:])
     return total[bounds[1:]] - total[bounds[:-1]]
+
+
+#: Bits for each key of ``without``, and the most that it copies to all tasks.
+KEY_BITS, MOST_BITS = 16, 1 << 27
+
+
+def without(rows: DataFrame, gone: DataFrame, *key: str) -> DataFrame:
+    """The rows whose key is not among those of ``gone``, a staged table of distinct keys; rows of a null key stay.
+
+    A bitmap of the keys' hashes goes to all tasks. Only rows whose bit is set, those that go and a few others, meet the keys
+    themselves, so that the rest and its texts stay where they are, however many keys there are.
+    """
+    bits = 1 << 15
+    wanted = min(MOST_BITS, KEY_BITS * gone.count())
+    while bits < wanted:
+        bits *= 2
+    place = F.pmod(F.xxhash64(*[F.col(k).cast(gone.schema[k].dataType) for k in key]), F.lit(bits))
+    at = F.bitmap_bit_position(place)
+    bitmap = gone.groupBy(F.bitmap_bucket_number(place).alias("_gone_in")).agg(F.bitmap_construct_agg(at).alias("_gone_bits"))
+    byte = F.conv(F.hex(F.substring(F.col("_gone_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("_gone_in", F.bitmap_bucket_number(place)).join(F.broadcast(staged(bitmap, "bitmap")), "_gone_in", "left")
+    found = found.withColumn("_gone_set", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("_gone_in", "_gone_bits")
+    stay, open_ = found.where(~F.col("_gone_set")).drop("_gone_set"), found.where("_gone_set").drop("_gone_set")
+    return stay.unionByName(open_.join(gone, list(key), "left_anti").select(*[F.col(f"`{c}`") for c in stay.columns]))

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from glyphlake.llm import fingerprints, html, mixing, neardup, packing, queries
+from glyphlake.llm import common, fingerprints, html, mixing, neardup, packing, queries
+from glyphlake.sources.tables import staged
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra int"
@@ -713,3 +714,40 @@ def test_pipeline_of_odd_rows(spark, sf_dir, odd):
 def test_run_is_the_stages_in_order(spark, sf_dir):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "pii", "mixing", "packing"]
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def moved_rows(df):
+    """Rows that the exchanges of df's plan wrote when it was last run, of those that carry texts."""
+    out, left = 0, [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        left += [node.children().apply(k) for k in range(node.children().size())]
+        if node.nodeName() == "Exchange" and "text#" in node.output().mkString(" "):
+            out += node.metrics().apply("shuffleRecordsWritten").value()
+    return out
+
+
+def test_near_duplicates_go_without_moving_the_rest(spark, sf_dir):
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(9))) for k in range(600)]
+    docs = spark.createDataFrame(rows + [(1000 + k, rows[k][1]) for k in range(20)], "doc_id int, text string")
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        left = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir)
+        assert sorted(map(tuple, left.collect())) == rows
+        assert 20 <= moved_rows(left) < 100
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_without_is_exact_where_bits_are_few(spark, monkeypatch):
+    monkeypatch.setattr(common, "MOST_BITS", 1 << 15)
+    rows = spark.range(200_000).selectExpr("if(id % 1000 = 7, null, cast(id as int)) as a", "cast(id % 3 as string) as b")
+    gone = staged(spark.range(0, 200_000, 2).selectExpr("id as a", "cast(id % 3 as string) as b"), "gone")
+    want = [k for k in range(200_000) if k % 2 and k % 1000 != 7]
+    got = common.without(rows, gone, "a", "b")
+    assert sorted(r["a"] for r in got.where("a is not null").collect()) == want and got.where("a is null").count() == 200
+    assert common.without(rows, staged(gone.where("false"), "none"), "a", "b").count() == 200_000
