@@ -15,11 +15,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import SPACES, staged
+from glyphlake.llm.common import SPACES, staged, unstage
 
 #: Kinds in the order of ties, and their patterns. Possessive loops and the look-behind (or the end of the last
 #: match) find what the plain patterns find, without trying each place of a long run of characters again.
@@ -180,23 +179,6 @@ def found(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(kept, own).select(*[F.col("_kept").getField(c).alias(c) for c in keep], *[F.col("_found").getField(k).alias(k) for k in names])
 
 
-def _held(df: DataFrame) -> DataFrame:
-    """df, computed now and held by the executors, in memory or on their disks, so that the planner knows its size.
-
-    What a lost executor held is computed again. A staged table would be a file for each partition, however small, and where
-    Hadoop has no native code it starts processes for each file. Plans of held tables are adaptive only where the setting says so.
-    """
-    conf, adaptive = df.sparkSession.conf, "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
-    before = conf.get(adaptive)
-    conf.set(adaptive, "true")
-    try:
-        df.persist(StorageLevel.MEMORY_AND_DISK)
-    finally:
-        conf.set(adaptive, before)
-    df.count()
-    return df
-
-
 def patterns(docs: DataFrame) -> DataFrame:
     """(key, conf) of the contexts that seeds, and what they lead to, make believable.
 
@@ -206,14 +188,15 @@ def patterns(docs: DataFrame) -> DataFrame:
     base = F.concat(*[F.transform(k, lambda x: F.struct(x["v"].alias("v"), x["keys"].alias("keys"), F.lit(1).alias("seed"))) for k in KINDS[:4]])
     tokens = F.transform("token", lambda x: F.struct(x["v"].alias("v"), x["keys"].alias("keys"), x["v"].rlike(HEX_KEY).cast("int").alias("seed")))
     each = found(docs).select(F.explode(F.concat(base, tokens)).alias("x")).select(F.explode("x.keys").alias("key"), F.xxhash64("x.v").alias("v"), "x.seed")
-    pairs = _held(each.groupBy("key", "v").agg(F.max("seed").alias("seed"), F.count("*").alias("n")))
-    often = _held(pairs.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("own")).where(F.col("m") >= SUPPORT).select("key", "own"))
+    pairs = staged(each.groupBy("key", "v").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "pairs")
+    often = staged(pairs.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("own")).where(F.col("m") >= SUPPORT).select("key", "own"), "often")
     asked = often.where(~F.col("key").startswith("=")).select(F.substring("key", 2, 1 << 30).alias("word")).distinct()
     words = docs.select(F.explode(F.split(F.lower("text"), SPACES)).alias("word")).join(asked, "word", "left_semi").groupBy("word").agg(F.count("*").alias("all"))
     word = F.when(~F.col("key").startswith("="), F.substring("key", 2, 1 << 30))
     totals = often.withColumn("word", word).join(words, "word", "left").select("key", F.greatest("own", F.coalesce("all", F.lit(0))).alias("total"))
-    edges = _held(pairs.join(totals, "key"))
-    # Each round reads the one before once, so none is held.
+    edges = staged(pairs.join(totals, "key"), "edges")
+    unstage(pairs, often)
+    # Each round reads the one before once, so that rounds need no staging: every staged table is a file a partition, however small.
     scores = edges.groupBy("v").agg(F.max("seed").cast("double").alias("score"))
     for k in range(ROUNDS):
         weighed = edges.join(scores, "v").groupBy("key")
@@ -223,8 +206,7 @@ def patterns(docs: DataFrame) -> DataFrame:
             believed = edges.join(worth.where(F.col("support") >= SUPPORT), "key", "left").groupBy("v")
             scores = believed.agg(F.when(F.max("seed") == 1, 1.0).otherwise(F.coalesce(1 - F.exp(doubt), F.lit(0.0))).alias("score"))
     good = staged(worth.where((F.col("conf") >= CONFIDENCE) & (F.col("support") >= SUPPORT)).select("key", "conf"), "good")
-    for df in (edges, often, pairs):
-        df.unpersist()
+    unstage(edges)
     return good
 
 
